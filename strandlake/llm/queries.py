@@ -8,6 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .exact_dedup import exact_dedup
+from .html_extract import html_extract
+from .language_id import language_id
+from .quality_classifier import quality_classifier
 from .quality_rules import LineRules, quality_rules
 
 
@@ -19,10 +22,22 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id(table(spark, sf_dir, "documents"))
+
+
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents")).drop("clean_text")
 
 
+def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 OP1_SQL = r"""
 with d as (
   select doc_id, length(coalesce(text, '')) as n_chars,
@@ -80,7 +95,7 @@ from r
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_dedup, op7_quality_rules)}
+    return {f.__name__: f for f in (op1_exact_dedup, op4_language_id, op6_quality_classifier, op7_quality_rules, op10_html_extract)}
 
 
 def oracle_sql() -> dict[str, str]:
