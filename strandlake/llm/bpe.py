@@ -190,9 +190,12 @@ class Merges:
 
 
 class Encoder:
-    """Ids of texts under a vocabulary file of the tokenizers library, in little-endian unsigned 32-bit integers."""
+    """Ids of texts under a vocabulary file of the tokenizers library, in little-endian unsigned 32-bit integers.
 
-    def __init__(self, source: str):
+    With speculate, unseen words are encoded by Merges; without it, by the library, word by word.
+    """
+
+    def __init__(self, source: str, speculate: bool = True):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -201,14 +204,14 @@ class Encoder:
         self.library.no_truncation()
         self.library.no_padding()
         self.suffix = spec["model"].get("end_of_word_suffix") or ""
-        self.merges = Merges(spec["model"], self.suffix)
+        self.merges = Merges(spec["model"], self.suffix) if speculate else None
         self.bytes = byte_alphabet()
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.at_special = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
         self.lower = bool(spec["normalizer"])
         self.pattern = WORD_END_PATTERN if self.suffix else BYTE_LEVEL_PATTERN
         self.cache: dict[str, bytes] = {}
-        self.names = dict(enumerate(self.merges.tokens)) | {i: t for t, i in self.special.items()}
+        self.names = {i: t for t, i in spec["model"]["vocab"].items()} | {i: t for t, i in self.special.items()}
         self.decoder = self.library.decoder
 
     def split(self, text: str) -> tuple[list[str], bool]:
@@ -242,7 +245,14 @@ class Encoder:
                 cache[w] = np.uint32(self.special[w[1:]]).tobytes()
             else:
                 todo.append(w)
-        if todo:
+        if todo and self.merges is None:
+            known = {w for w in todo if w[0] != _END and _GAP not in w}
+            found = self.library.encode_batch_fast(list(known), add_special_tokens=False)
+            cache.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(known, found, strict=True))
+            for w in set(todo) - known:  # cut by the library, already written in the byte alphabet
+                model = self.library.model
+                cache[w] = np.array([t.id for t in model.tokenize(w[1:] if w[0] == _END and len(w) > 1 else "".join([self.bytes[b] for b in w.encode()]))], "<u4").tobytes()
+        elif todo:
             alphabet = self.bytes
             written = [w[1:] if w[0] == _END and len(w) > 1 else "".join([alphabet[b] for b in w.encode()]) if not (w.isascii() and w.isalnum()) else w for w in todo]
             cache.update(zip(todo, self.merges.encode(written), strict=True))
@@ -256,15 +266,15 @@ class Encoder:
         return " ".join(map(self.names.__getitem__, listed))
 
 
-_encoders: dict[int, Encoder] = {}
+_encoders: dict[tuple[int, bool], Encoder] = {}
 
 
-def encoder_of(source: str) -> Encoder:
+def encoder_of(source: str, speculate: bool = True) -> Encoder:
     """The worker's encoder of this vocabulary; it lives on from task to task."""
-    key = hash(source)
+    key = hash(source), speculate
     if key not in _encoders:
         _encoders.clear()
-        _encoders[key] = Encoder(source)
+        _encoders[key] = Encoder(source, speculate)
     return _encoders[key]
 
 

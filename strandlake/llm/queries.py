@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .bpe import bpe_decode, bpe_encode
 from .exact_dedup import exact_dedup
 from .html_extract import html_extract
 from .language_id import language_id
+from .packing import best_fit_pack, cut_pieces
 from .quality_classifier import quality_classifier
 from .quality_rules import LineRules, quality_rules
 
@@ -22,6 +24,23 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def tokenizer(name: str) -> str:
+    """The place of a public vocabulary file; the operators take any path."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = tokenizer("word_bpe_49k.json")
+    both = bpe_decode(bpe_encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path), path)
+    return both.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
+
+
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return best_fit_pack(cut_pieces(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json")))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id(table(spark, sf_dir, "documents"))
 
@@ -95,7 +114,7 @@ from r
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_dedup, op4_language_id, op6_quality_classifier, op7_quality_rules, op10_html_extract)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_bpe, op3_best_fit_packing, op4_language_id, op6_quality_classifier, op7_quality_rules, op10_html_extract)}
 
 
 def oracle_sql() -> dict[str, str]:
