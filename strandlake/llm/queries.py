@@ -11,6 +11,7 @@ from .bpe import bpe_decode, bpe_encode
 from .exact_dedup import exact_dedup
 from .html_extract import html_extract
 from .language_id import language_id
+from .license_scan import HINT, MIN_COSINE, TEMPLATES, TERM, license_scan, template_weights, weight_rows
 from .packing import best_fit_pack, cut_pieces
 from .quality_classifier import quality_classifier
 from .quality_rules import LineRules, quality_rules
@@ -53,6 +54,15 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents")).drop("clean_text")
 
 
+#: A document of so many characters at most, one of them a licence line, stands for the licence file of its directory (its source).
+_LICENCE_CHARS = 200
+
+
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return license_scan(docs, F.concat_ws("/", F.lit(""), "source", F.col("doc_id").cast("string")), licence_file=F.char_length("text") <= _LICENCE_CHARS)
+
+
 def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
 
@@ -113,9 +123,40 @@ from r
 """
 
 
+_T = range(len(TEMPLATES))
+OP8_SQL = rf"""
+with weights(term, idf, {', '.join(f't{i}' for i in _T)}) as (values {weight_rows().replace('D,', ',').replace('D)', ')')}),
+d as (select doc_id, '/' || coalesce(source, '') as dir, coalesce(length(text), 1000000) <= {_LICENCE_CHARS} as whole, coalesce(text, '') as t from documents),
+hinted as (select * from d where regexp_matches(t, '{HINT}')),
+segments as (
+  select doc_id, line, segment from (
+    select doc_id, unnest(range(0, len(ls))) as line, unnest(ls) as segment from (select doc_id, string_split(t, chr(10)) as ls from hinted))
+  where regexp_matches(segment, '{HINT}')
+  union all select doc_id, -1, t from hinted where whole),
+terms as (
+  select doc_id, line, term, count(*) as n
+  from (select doc_id, line, unnest(regexp_extract_all(lower(segment), '{TERM}')) as term from segments) group by all),
+w as (select terms.*, weights.* exclude (term), n * coalesce(idf, {template_weights()[2]!r}) as w from terms left join weights using (term)),
+dots as (select doc_id, line, sqrt(sum(w * w)) as norm, {', '.join(f'sum(w * coalesce(t{i}, 0)) as d{i}' for i in _T)} from w group by doc_id, line),
+scores as ({' union all '.join(f"select doc_id, line, {i} as i, '{TEMPLATES[i][0]}' as license, round(d{i} / norm, 4) as cosine from dots" for i in _T)}),
+own as (
+  select * from scores where cosine >= {MIN_COSINE}
+  qualify row_number() over (partition by doc_id order by cosine desc, i, line) = 1),
+licences as (
+  select dir, license from (select dir, license, count(*) as n from d join own using (doc_id) where whole group by dir, license)
+  qualify row_number() over (partition by dir order by n desc, license) = 1),
+found as (
+  select d.doc_id, own.license, own.cosine, own.line, l.license as inherited_license, l.dir as inherited_from
+  from d left join own using (doc_id) left join licences l on l.dir = d.dir)
+select doc_id, license, cosine, line::bigint as line,
+       case when license is null then inherited_license end as inherited_license, case when license is null then inherited_from end as inherited_from
+from found
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_dedup, op2_bpe, op3_best_fit_packing, op4_language_id, op6_quality_classifier, op7_quality_rules, op10_html_extract)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_bpe, op3_best_fit_packing, op4_language_id, op6_quality_classifier, op7_quality_rules, op8_license_scan, op10_html_extract)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": OP1_SQL, "op7_quality_rules": OP7_SQL}
+    return {"op1_exact_dedup": OP1_SQL, "op7_quality_rules": OP7_SQL, "op8_license_scan": OP8_SQL}
