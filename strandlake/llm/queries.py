@@ -12,6 +12,7 @@ from .exact_dedup import exact_dedup
 from .html_extract import html_extract
 from .language_id import language_id
 from .license_scan import HINT, MIN_COSINE, TEMPLATES, TERM, license_scan, template_weights, weight_rows
+from .ngram_jaccard import ngram_jaccard_join
 from .packing import best_fit_pack, cut_pieces
 from .quality_classifier import quality_classifier
 from .quality_rules import LineRules, quality_rules
@@ -63,6 +64,10 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(docs, F.concat_ws("/", F.lit(""), "source", F.col("doc_id").cast("string")), licence_file=F.char_length("text") <= _LICENCE_CHARS)
 
 
+def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_jaccard_join(table(spark, sf_dir, "documents"))
+
+
 def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
 
@@ -155,7 +160,7 @@ from found
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_dedup, op2_bpe, op3_best_fit_packing, op4_language_id, op6_quality_classifier, op7_quality_rules, op8_license_scan, op10_html_extract)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_bpe, op3_best_fit_packing, op4_language_id, op6_quality_classifier, op7_quality_rules, op8_license_scan, op9_ngram_jaccard, op10_html_extract)}
 
 
 def oracle_sql() -> dict[str, str]:
