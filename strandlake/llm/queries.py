@@ -17,6 +17,8 @@ from .packing import best_fit_pack, cut_pieces
 from .quality_classifier import quality_classifier
 from .quality_rules import LineRules, quality_rules
 
+from .suffix_dedup import suffix_dedup
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -47,6 +49,10 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id(table(spark, sf_dir, "documents"))
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup(table(spark, sf_dir, "documents"), keep_text=False)
+
+
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -160,7 +166,7 @@ from found
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_dedup, op2_bpe, op3_best_fit_packing, op4_language_id, op6_quality_classifier, op7_quality_rules, op8_license_scan, op9_ngram_jaccard, op10_html_extract)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_bpe, op3_best_fit_packing, op4_language_id, op5_suffix_dedup, op6_quality_classifier, op7_quality_rules, op8_license_scan, op9_ngram_jaccard, op10_html_extract)}
 
 
 def oracle_sql() -> dict[str, str]:
