@@ -10,7 +10,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructType
 
@@ -169,14 +169,34 @@ def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> D
     return docs.mapInArrow(label, schema)
 
 
+def is_held_out(id_col: str) -> Column:
+    """crc32(id as text) mod 3 is 1; false for a null id."""
+    return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 == 1, F.lit(False))
+
+
+def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_rows: int = 12_000) -> LanguageModel:
+    """A model from about `sample_rows` of the labelled rows at most that aren't held out; a hash of the id chooses them."""
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.col(lang_col).alias("_lang"))
+    labelled = rows.where(~is_held_out("_id") & F.col("_text").isNotNull() & F.col("_lang").isNotNull())
+    return fit(bounded_sample(labelled, "_id", sample_rows), "_text", "_lang")
+
+
+def keep_identified(docs: DataFrame, min_score: float = 0.5, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_rows: int = 12_000) -> DataFrame:
+    """The rows whose language is identified (not `und`) with a score of min_score or more; without any labelled row, those with a letter."""
+    model = learn(docs, id_col, text_col, lang_col, sample_rows)
+    if not model.langs:
+        return docs.where(F.col(text_col).rlike(r"\p{L}"))
+    found = identify(docs.withColumnsRenamed({c: f"_own_{c}" for c in ("lang_pred", "score")}), model, text_col)
+    found = found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= min_score)).drop("lang_pred", "score")
+    return found.withColumnsRenamed({f"_own_{c}": c for c in ("lang_pred", "score")}).select(*docs.columns)
+
+
 def language_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_rows: int = 12_000) -> DataFrame:
     """One row per input row: <id_col>, held_out, lang_pred, score.
 
     Learns from rows with a text and a language whose crc32(id as text) mod 3 isn't 1, about `sample_rows` of them at most
     (a hash of the id chooses); predicts from the text alone. A null id isn't held out. Without any labelled row all texts are `und`.
     """
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.col(lang_col).alias("_lang"))
-    held_out = F.coalesce(F.crc32(F.col("_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
-    model = fit(bounded_sample(rows.where(~held_out & F.col("_text").isNotNull() & F.col("_lang").isNotNull()), "_id", sample_rows), "_text", "_lang")
-    found = identify(rows.select("_id", "_text"), model, "_text")
-    return found.select(F.col("_id").alias(id_col), held_out.alias("held_out"), "lang_pred", "score")
+    model = learn(docs, id_col, text_col, lang_col, sample_rows)
+    found = identify(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")), model, "_text")
+    return found.select(F.col("_id").alias(id_col), is_held_out("_id").alias("held_out"), "lang_pred", "score")

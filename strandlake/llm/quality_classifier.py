@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Hashes, cut, runs, shingles, slices, utf8, words
+from .language_id import is_held_out
 
 FEATURES = (
     "log_words", "log_word_len", "symbols", "shouts", "bars", "capitals", "digits", "stops", "breaks",
@@ -156,7 +157,7 @@ def quality_classifier(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     kind = rows.schema["_id"].dataType.simpleString()
     measured = cut(rows.mapInArrow(measure, f"_id {kind}, x array<double>"))
-    held_out = F.coalesce(F.crc32(F.col("_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
+    held_out = is_held_out("_id")
     known = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("label")).where("label in (0, 1)")
     shipped = docs.sparkSession.sparkContext.broadcast(fit(measured.where(~held_out).join(known, "_id")))
 

@@ -50,7 +50,8 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup(table(spark, sf_dir, "documents"), keep_text=False)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return suffix_dedup(docs, as_text=False)
 
 
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -152,10 +152,6 @@ def repeated_offsets(group: np.ndarray, before: np.ndarray, after: np.ndarray, l
     return least, most
 
 
-def _split_spans(table: pa.Table | pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    return tuple(table.column(i).to_numpy() for i in range(3))
-
-
 _SPANS = "doc long, start long, stop long, what int"
 _SETTLED, _WANTED, _WANTED_HOT = 0, 1, 2
 
@@ -343,45 +339,45 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return spans.select("doc", "start", "stop")
 
 
-def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, keep_text: bool = True) -> DataFrame:
-    """One row per input row: <id_col>, n_bytes, n_removed, n_spans, kept (binary: the remaining bytes; with keep_text False their SHA-256 only, kept_sha256).
+def _left(own: np.ndarray, spans: pa.Scalar) -> tuple[int, int, bytes]:
+    """Removed bytes, runs of them, and what is left of a text under its spans."""
+    if not spans.is_valid or not len(spans.values):
+        return 0, 0, own.tobytes()
+    start, stop = (spans.values.field(k).to_numpy() for k in (0, 1))
+    step = np.zeros(len(own) + 1, np.int32)
+    np.add.at(step, np.minimum(start, len(own)), 1)
+    np.add.at(step, np.minimum(stop, len(own)), -1)
+    gone = np.cumsum(step[:-1]) > 0
+    return int(gone.sum()), int((gone[1:] & ~gone[:-1]).sum() + gone[:1].sum()), own[~gone].tobytes()
+
+
+def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, as_text: bool = True) -> DataFrame:
+    """docs with n_bytes, n_removed, n_spans (maximal removed runs) and kept_sha256; with as_text the text is what is left, else it is dropped.
 
     Removes each byte that a string of `length` bytes covers which also starts earlier (repeated_spans); strings are judged on the
-    input. A null text counts as empty; a row without an id stays whole. Other columns are ignored.
+    input. A null text counts as empty, and comes out empty; a row without an id stays whole. Where a run ends within a character, its torn bytes
+    go too, from the text but not from kept_sha256. Columns of docs named like the new ones are replaced.
     """
-    spans = cut(repeated_spans(docs, id_col, text_col, length))
-    by_doc = spans.groupBy("doc").agg(F.collect_list(F.struct("start", "stop")).alias("_spans"))
-    by_doc = cut(by_doc)
+    new = ["n_bytes", "n_removed", "n_spans", "kept_sha256"]
+    by_doc = cut(repeated_spans(docs, id_col, text_col, length).groupBy("doc").agg(F.collect_list(F.struct("start", "stop")).alias("_spans")))
     size = by_doc.agg(F.count(F.lit(1)), F.sum(F.size("_spans"))).first()
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("_text"))
-    kind = rows.schema["_id"].dataType.simpleString()
-    joined = rows.join(broadcast_if_small(by_doc, max(size[0], size[1] or 0), 32), "doc", "left").select("_id", "_text", "_spans")
+    names = [c for c in docs.columns if c not in new and c != text_col]
+    rows = docs.select(*names, F.col(id_col).cast("long").alias("_doc"), F.col(text_col).alias("_text"))
+    spans = by_doc.withColumnRenamed("doc", "_doc")
+    joined = rows.join(broadcast_if_small(spans, max(size[0], size[1] or 0), 32), "_doc", "left").select(*names, "_text", "_spans")
+    out = [*docs.select(*names).columns, *new, *[text_col] * as_text]
+    schema = docs.select(*names).schema.add("n_bytes", "long").add("n_removed", "long").add("n_spans", "long").add("kept_sha256", "string")
+    schema = schema.add(text_col, "string") if as_text else schema
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "_text"):
-                data, off = utf8(part.column(1))
-                n, removed, count, kept = np.diff(off).tolist(), [], [], []
-                for i, spans_ in enumerate(part.column(2)):
-                    own = data[off[i] : off[i + 1]]
-                    if spans_.is_valid and len(spans_.values):
-                        start, stop = (spans_.values.field(k).to_numpy() for k in (0, 1))
-                        step = np.zeros(len(own) + 1, np.int32)
-                        stop = np.minimum(stop, len(own))
-                        np.add.at(step, start, 1)
-                        np.add.at(step, stop, -1)
-                        gone = np.cumsum(step[:-1]) > 0
-                        removed.append(int(gone.sum()))
-                        count.append(int((gone[1:] & ~gone[:-1]).sum() + gone[:1].sum()))
-                        left = own[~gone].tobytes()
-                    else:
-                        removed.append(0)
-                        count.append(0)
-                        left = own.tobytes()
-                    kept.append(left if keep_text else hashlib.sha256(left).hexdigest())
-                columns = [part.column(0), *(pa.array(x, pa.int64()) for x in (n, removed, count)), pa.array(kept, pa.binary() if keep_text else pa.string())]
-                yield pa.record_batch(columns, names)
-
-    names = ["_id", "n_bytes", "n_removed", "n_spans", "kept" if keep_text else "kept_sha256"]
-    schema = f"_id {kind}, n_bytes long, n_removed long, n_spans long, {names[-1]} {'binary' if keep_text else 'string'}"
-    return joined.mapInArrow(remove, schema).withColumnRenamed("_id", id_col)
+                data, off = utf8(part.column(len(names)))
+                found = [_left(data[a:b], s) for a, b, s in zip(off[:-1].tolist(), off[1:].tolist(), part.column(len(names) + 1), strict=True)]
+                columns = [*(part.column(i) for i in range(len(names))), pa.array(np.diff(off)), *(pa.array([f[i] for f in found], pa.int64()) for i in (0, 1))]
+                columns.append(pa.array([hashlib.sha256(f[2]).hexdigest() for f in found], pa.string()))
+                if as_text:
+                    columns.append(pa.array([f[2].decode("utf-8", "ignore") for f in found], pa.string()))
+                yield pa.record_batch(columns, out)
+
+    return joined.mapInArrow(remove, schema)
