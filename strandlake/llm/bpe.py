@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import slices, small_batches
 
 #: Encoded words kept by a worker at once.
 CACHE = 400_000
@@ -303,12 +303,12 @@ def bpe_encode(docs: DataFrame, path: str, text_col: str = "text", ids_col: str
 
     A null text counts as empty and has no ids; special tokens written out in a text are their ids, as in the library.
     """
-    source = docs.sparkSession.sparkContext.broadcast(vocabulary(path))
+    source = small_batches(docs.sparkSession).sparkContext.broadcast(vocabulary(path))
     return over_texts(docs, text_col, ids_col, "binary", lambda texts: pa.array(encoder_of(source.value).encode([t or "" for t in texts]), pa.binary()))
 
 
 def bpe_decode(rows: DataFrame, path: str, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
     """rows with the decoded text beside the ids; null ids decode to ""."""
-    source = rows.sparkSession.sparkContext.broadcast(vocabulary(path))
+    source = small_batches(rows.sparkSession).sparkContext.broadcast(vocabulary(path))
     both = rows.withColumn("_ids", F.col(ids_col))
     return over_texts(both, "_ids", text_col, "string", lambda ids: pa.array([encoder_of(source.value).decode(i or b"") for i in ids], pa.string()))

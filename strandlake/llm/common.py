@@ -7,6 +7,7 @@ a few array steps rather than a Python object.
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,16 +22,35 @@ BROADCAST_ROWS = 400_000
 #: Bytes up to which a side of a join may be broadcast.
 BROADCAST_BYTES = 48 << 20
 #: Bytes of text that one step of array work takes at once (a longer text is taken alone).
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
+#: Bytes of a batch between JVM and Python (a longer row is a batch of its own).
+BATCH_BYTES = 8 << 20
+
+
+def small_batches(spark: SparkSession) -> SparkSession:
+    """Bounds the batches that cross between JVM and Python by bytes, so that texts of any length need little memory on either side."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return spark
 
 
 def cut(df: DataFrame) -> DataFrame:
     """Cuts the lineage with a reliable checkpoint in the folder that spark.checkpoint.dir names."""
-    spark = df.sparkSession
+    _shared_folder(df.sparkSession)
+    return df.checkpoint()
+
+
+def _shared_folder(spark: SparkSession) -> str:
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="strandlake-"))
-    return df.checkpoint()
+    return sc.getCheckpointDir()
+
+
+def store(df: DataFrame) -> DataFrame:
+    """Cuts the lineage with a Parquet table beside the checkpoints: smaller than a checkpoint where rows are many. The session's end leaves it to the folder's owner."""
+    path = f"{_shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def broadcast_if_small(df: DataFrame, rows: int, row_bytes: int = 64) -> DataFrame:

@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(script|style|title|textarea|template|noscript|svg|math|xmp|noframes)(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)"
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|([^<]+)|<",
@@ -197,6 +199,7 @@ def html_extract(pages: DataFrame, html_col: str = "html", sample_rows: int = 40
     Weights come from `weights`, or are learned from `sample_rows` pages at most that label their main text with an article or main element
     (those of the smallest hashes of the id). Repeated rows are extracted each by itself. Columns named text or n_chars are replaced.
     """
+    small_batches(pages.sparkSession)
     if weights is None:
         labelled = pages.select(F.col(id_col).alias("_id"), F.col(html_col).alias("_html")).where(F.col("_html").rlike(r"(?i)<(article|main)[\s>]"))
         chosen = labelled.select("_id", F.xxhash64("_id").alias("_h")).orderBy("_h").limit(sample_rows)

@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructType
 
+from .common import small_batches
+
 LETTERS = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
 #: Length of the n-grams to which an unseen word falls back, in turn.
@@ -124,6 +126,7 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", max
                     yield flush()
         yield flush()
 
+    small_batches(labelled.sparkSession)
     rows = labelled.select(F.col(text_col).alias("t"), F.col(lang_col).alias("l")).where("t is not null and l is not null")
     counts = rows.mapInArrow(count, "lang string, gram string, k int, n long").groupBy("k", "gram", "lang").agg(F.sum("n").alias("n"))
     by_gram = counts.groupBy("k", "gram").agg(F.collect_list(F.struct("lang", "n")).alias("by"), F.sum("n").alias("n"))
@@ -153,7 +156,7 @@ def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> D
 
     Every whole text is read; only the text is an input of the prediction. Columns of docs pass through; those named lang_pred or score are replaced.
     """
-    shipped = docs.sparkSession.sparkContext.broadcast(model)
+    shipped = small_batches(docs.sparkSession).sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
     out = docs.drop("lang_pred", "score")
     keep = [i for i, c in enumerate(docs.columns) if c in out.columns]

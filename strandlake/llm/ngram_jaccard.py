@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Hashes, U, broadcast_if_small, cut, mix, shingles, shuffle_partitions, slices, utf8, words
+from .common import Hashes, U, broadcast_if_small, cut, mix, shingles, shuffle_partitions, slices, small_batches, utf8, words
 from .components import components
 
 
@@ -210,7 +210,7 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     same class included; group_id the smallest id of all that such links connect; kept is true for one row of each group. A null or
     empty text has no shingles, no links and a class and group of its own. Ties of id are broken by row; a null id comes last.
     """
-    spark = docs.sparkSession
+    spark = small_batches(docs.sparkSession)
     parts = shuffle_partitions(spark)
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     kind = rows.schema["_id"].dataType.simpleString()

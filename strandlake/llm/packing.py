@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .bpe import encoder_of, vocabulary
-from .common import cut, slices
+from .common import cut, slices, small_batches
 
 
 @dataclass(frozen=True)
@@ -96,7 +96,7 @@ def cut_pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     A document is its ids under the vocabulary at `path`, then end_id; null text counts as empty. Only a longer document than `tokens` is cut, all
     pieces but the first being full. Rows with equal ids are documents of their own.
     """
-    source = docs.sparkSession.sparkContext.broadcast(vocabulary(path))
+    source = small_batches(docs.sparkSession).sparkContext.broadcast(vocabulary(path))
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     kind = rows.schema["_id"].dataType.simpleString()
     end = np.array([end_id], "<u4").tobytes()

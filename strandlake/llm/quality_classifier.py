@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Hashes, cut, runs, shingles, slices, utf8, words
+from .common import Hashes, cut, runs, shingles, slices, small_batches, utf8, words
 from .language_id import is_held_out
 
 FEATURES = (
@@ -155,6 +155,7 @@ def quality_classifier(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id
                 yield pa.record_batch([part.column(0), pa.ListArray.from_arrays(offsets, values)], ["_id", "x"])
 
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+    small_batches(docs.sparkSession)
     kind = rows.schema["_id"].dataType.simpleString()
     measured = cut(rows.mapInArrow(measure, f"_id {kind}, x array<double>"))
     held_out = is_held_out("_id")

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U, Hashes, broadcast_if_small, cut, mix, shuffle_partitions, slices, utf8
+from .common import U, Hashes, broadcast_if_small, mix, shuffle_partitions, slices, small_batches, store, utf8
 
 LENGTH, GRAM = 100, 20
 #: Differing surroundings of one gram in one place from which each string of them becomes a group of its own, spread by its hash.
@@ -85,7 +85,23 @@ def samples(data: np.ndarray, off: np.ndarray, length: int = LENGTH, gram: int =
     return text, at, start[begin], start[last], hashes[at]
 
 
-_RECORD = np.dtype([("gram", "<u8"), ("around", "<u8"), ("id", "<i8"), ("at", "<i8"), ("before", "<u2"), ("span", "<u2")])
+_RECORD = np.dtype([("gram", "<u8"), ("around", "<u8"), ("id", "<i8"), ("at", "<u4"), ("before", "u1"), ("span", "u1")])
+
+
+def pack(found: np.ndarray) -> bytes:
+    """Records column by column in order of text and place, which compresses better than row by row in order of hash."""
+    found = found[np.lexsort((found["at"], found["id"]))]
+    return b"".join(found[name].tobytes() for name in _RECORD.names)
+
+
+def unpack(blob: pa.Scalar) -> np.ndarray:
+    raw = blob.as_buffer()
+    found, at = np.empty(raw.size // _RECORD.itemsize, _RECORD), 0
+    for name in _RECORD.names:
+        kind = _RECORD[name]
+        found[name] = np.frombuffer(raw, kind, len(found), at)
+        at += kind.itemsize * len(found)
+    return found
 
 
 def name_triples(words: np.ndarray, group: np.ndarray) -> np.ndarray:
@@ -161,12 +177,12 @@ def _span_batch(doc: np.ndarray, start: np.ndarray, stop: np.ndarray, what: np.n
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
-    """Spans (doc, start, stop) in UTF-8 bytes, possibly overlapping, that strings of `length` bytes found earlier cover. Ids must be integers.
+    """For each text that has any its spans (doc, spans), in UTF-8 bytes and apart, that strings of `length` bytes found earlier cover. Ids must be integers.
 
     Earlier: a smaller id, or the same text and an earlier start. Null counts as empty. Rows of one id count as one text each; of such rows
     equal positions tie, and none is the earlier.
     """
-    spark = docs.sparkSession
+    spark = small_batches(docs.sparkSession)
     parts = shuffle_partitions(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("_text"))
     reach = length - gram
@@ -188,10 +204,11 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             found, bucket = found[order], bucket[order]
             at = np.searchsorted(bucket, np.arange(parts + 1))
             full = np.flatnonzero(np.diff(at))
-            blobs = [found[at[b] : at[b + 1]].tobytes() for b in full.tolist()]
-            yield pa.record_batch([pa.array(full.astype(np.int32)), pa.array(blobs, pa.binary())], ["bucket", "records"])
-            for i in range(0, len(settled), 200_000):
-                yield pa.record_batch([pa.array([-1], pa.int32()), pa.array([settled[i : i + 200_000].tobytes()], pa.binary())], ["bucket", "records"])
+            blobs = [pack(found[at[b] : at[b + 1]]) for b in full.tolist()]
+            early = [pack(settled[i : i + 100_000]) for i in range(0, len(settled), 100_000)]
+            spread = [(b + 1) % parts for b in range(len(early))]
+            columns = [pa.array([*full.tolist(), *spread], pa.int32()), pa.array([False] * len(blobs) + [True] * len(early)), pa.array(blobs + early, pa.binary())]
+            yield pa.record_batch(columns, ["bucket", "settled", "records"])
 
         for batch in batches:
             for part in slices(batch, "_text"):
@@ -202,31 +219,26 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 found["id"] = part.column(0).to_numpy(zero_copy_only=False)[text]
                 found["at"], found["before"], found["span"] = at - off[text], at - first, last - first
                 held.append(found)
-                if sum(map(len, held)) > 1_500_000:
+                if sum(map(len, held)) > 600_000:
                     yield from flush()
         if held:
             yield from flush()
 
-    packets = cut(rows.where("doc is not null").mapInArrow(sample, "bucket int, records binary"))
+    packets = rows.where("doc is not null").mapInArrow(sample, "bucket int, settled boolean, records binary")
 
     def spans_of(found: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        start = found["at"] - found["before"].astype(np.int64)
+        start = found["at"].astype(np.int64) - found["before"]
         return found["id"], start, start + found["span"].astype(np.int64) + length
 
-    def read(blob: pa.Scalar) -> np.ndarray:
-        return np.frombuffer(blob.as_buffer(), _RECORD)
-
-    def settle_early(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for blob in batch.column(0):
-                doc, start, stop = spans_of(read(blob))
-                yield _span_batch(doc, start, stop, np.full(len(doc), _SETTLED))
-
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list[np.ndarray]] = {}
         for batch in batches:
-            for bucket, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                held.setdefault(bucket, []).append(read(blob))
+            for bucket, settled, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                if settled:
+                    doc, start, stop = spans_of(unpack(blob))
+                    yield _span_batch(doc, start, stop, np.full(len(doc), _SETTLED))
+                else:
+                    held.setdefault(bucket, []).append(unpack(blob))
         for bucket in list(held):
             found = np.concatenate(held.pop(bucket))
             found = found[np.argsort(found["gram"], kind="stable")]
@@ -254,61 +266,59 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             wanted = what[out] != _SETTLED
             yield _span_batch(doc, np.where(wanted, start | gap << 8, start), stop, what[out])
 
-    early = packets.where("bucket < 0").select("records").mapInArrow(settle_early, _SPANS)
-    sent = packets.where("bucket >= 0").repartition(parts, "bucket")
-    first = cut(sent.mapInArrow(settle, _SPANS))
+    first = store(packets.repartition(parts, "bucket").mapInArrow(settle, _SPANS))
     wanted = first.where(F.col("what") != _SETTLED)
-    asked = cut(wanted.groupBy("doc").agg(F.collect_list(F.struct("start", "stop", "what")).alias("asked")))
+    asked = store(wanted.groupBy("doc").agg(F.collect_list(F.struct("start", "stop", "what")).alias("asked")))
     size = asked.agg(F.count(F.lit(1)), F.sum(F.size("asked"))).first()
-    whole = rows.join(broadcast_if_small(asked, max(size[0], size[1] or 0), 40), "doc")
+    packed = rows.where("doc is not null").mapInArrow(_packed, "doc long, size long, packed binary")
+    whole = packed.join(broadcast_if_small(asked, max(size[0], size[1] or 0), 40), "doc")
     wide = reach + length
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Each wanted sample with its surroundings: reach bytes before it, nearest first, and length bytes from it on, filled up with zeros."""
-        for batch in batches:
-            for part in slices(batch, "_text", 2 << 20):
-                data, off = utf8(part.column(1))
-                asked = part.column(2)
-                many = np.diff(asked.offsets.to_numpy()) if len(asked) else np.zeros(0, np.int64)
-                flat = asked.flatten()
-                start, stop, what = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(3))
-                text = np.repeat(np.arange(len(many)), many)
-                base = off[text]
-                before, start = start >> 40, start & ((1 << 40) - 1)
-                at = start + before
-                span = stop - length - start
-                inside = stop <= np.diff(off)[text]
-                text, base, before, start, at, span, stop, what = (x[inside] for x in (text, base, before, start, at, span, stop, what))
-                ids = part.column(0).to_numpy()[text]
-                for lo in range(0, len(at), 50_000):
-                    s = slice(lo, lo + 50_000)
-                    left = np.arange(1, reach + 1)
-                    right = np.arange(length)
-                    a = (base[s] + at[s])[:, None]
-                    size = stop[s] - at[s]
-                    rows_ = np.zeros((len(at[s]), wide), np.uint8)
-                    rows_[:, :reach] = np.where(left <= before[s][:, None], data[np.maximum(a - left, 0)], 0)
-                    rows_[:, reach:] = np.where(right < size[:, None], data[np.minimum(a + right, len(data) - 1)], 0)
-                    grams = Hashes(rows_.ravel()).of(np.arange(len(rows_)) * wide + reach, np.arange(len(rows_)) * wide + reach + gram)
-                    # strings of hot grams become samples of one offset each, grouped by their own hash
-                    hot_ = what[s] == _WANTED_HOT
-                    out = [(grams[~hot_], ids[s][~hot_], at[s][~hot_], (before - span)[s][~hot_], before[s][~hot_], rows_[~hot_])]
-                    for offset in range(reach + 1) if hot_.any() else ():
-                        k = np.flatnonzero(hot_ & ((before - span)[s] <= offset) & (offset <= before[s]))
-                        if len(k):
-                            own = rows_[k].copy()
-                            own[:, offset:reach] = 0
-                            own[:, reach + length - offset :] = 0
-                            h = Hashes(own.ravel()).of(np.arange(len(k)) * wide, np.arange(len(k)) * wide + wide) + U(offset)
-                            out.append((h, ids[s][k], at[s][k], np.full(len(k), offset), np.full(len(k), offset), own))
-                    for g, doc, pos, low, high, own in out:
-                        if len(g):
-                            bucket = (mix(g) % U(parts)).astype(np.int32)
-                            blob = pa.FixedSizeBinaryArray.from_buffers(pa.binary(wide), len(g), [None, pa.py_buffer(np.ascontiguousarray(own))]).cast(pa.binary())
-                            columns = [pa.array(bucket), pa.array(g.astype(np.int64)), pa.array(doc), pa.array(pos), *(pa.array(x.astype(np.int32)) for x in (low, high)), blob]
-                            yield pa.record_batch(columns, ["bucket", "gram", "doc", "at", "low", "high", "bytes"])
-
-    fetched = whole.select("doc", "_text", "asked").mapInArrow(fetch, "bucket int, gram long, doc long, at long, low int, high int, bytes binary")
+        for part in _unpacked(batches, 1 << 20):
+            data, off = utf8(part.column(1))
+            asked = part.column(2)
+            many = np.diff(asked.offsets.to_numpy()) if len(asked) else np.zeros(0, np.int64)
+            flat = asked.flatten()
+            start, stop, what = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(3))
+            text = np.repeat(np.arange(len(many)), many)
+            base = off[text]
+            before, start = start >> 40, start & ((1 << 40) - 1)
+            at = start + before
+            span = stop - length - start
+            inside = stop <= np.diff(off)[text]
+            text, base, before, start, at, span, stop, what = (x[inside] for x in (text, base, before, start, at, span, stop, what))
+            ids = part.column(0).to_numpy()[text]
+            for lo in range(0, len(at), 10_000):
+                s = slice(lo, lo + 10_000)
+                left = np.arange(1, reach + 1)
+                right = np.arange(length)
+                a = (base[s] + at[s])[:, None]
+                size = stop[s] - at[s]
+                rows_ = np.zeros((len(at[s]), wide), np.uint8)
+                rows_[:, :reach] = np.where(left <= before[s][:, None], data[np.maximum(a - left, 0)], 0)
+                rows_[:, reach:] = np.where(right < size[:, None], data[np.minimum(a + right, len(data) - 1)], 0)
+                grams = Hashes(rows_.ravel()).of(np.arange(len(rows_)) * wide + reach, np.arange(len(rows_)) * wide + reach + gram)
+                # strings of hot grams become samples of one offset each, grouped by their own hash
+                hot_ = what[s] == _WANTED_HOT
+                out = [(grams[~hot_], ids[s][~hot_], at[s][~hot_], (before - span)[s][~hot_], before[s][~hot_], rows_[~hot_])]
+                for offset in range(reach + 1) if hot_.any() else ():
+                    k = np.flatnonzero(hot_ & ((before - span)[s] <= offset) & (offset <= before[s]))
+                    if len(k):
+                        own = rows_[k].copy()
+                        own[:, offset:reach] = 0
+                        own[:, reach + length - offset :] = 0
+                        h = Hashes(own.ravel()).of(np.arange(len(k)) * wide, np.arange(len(k)) * wide + wide) + U(offset)
+                        out.append((h, ids[s][k], at[s][k], np.full(len(k), offset), np.full(len(k), offset), own))
+                for g, doc, pos, low, high, own in out:
+                    if len(g):
+                        bucket = (mix(g) % U(parts)).astype(np.int32)
+                        blob = pa.FixedSizeBinaryArray.from_buffers(pa.binary(wide), len(g), [None, pa.py_buffer(np.ascontiguousarray(own))]).cast(pa.binary())
+                        columns = [pa.array(bucket), pa.array(g.astype(np.int64)), pa.array(doc), pa.array(pos), *(pa.array(x.astype(np.int32)) for x in (low, high)), blob]
+                        yield pa.record_batch(columns, ["bucket", "gram", "doc", "at", "low", "high", "bytes"])
+
+    fetched = whole.select("doc", "size", "packed", "asked").mapInArrow(fetch, "bucket int, gram long, doc long, at long, low int, high int, bytes binary")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [pa.table(b) for b in map(lambda x: pa.Table.from_batches([x]), batches)]
@@ -335,8 +345,48 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             yield _span_batch(doc[own][hit], (at[own] - most)[hit], (at[own] - least)[hit] + length, np.full(int(hit.sum()), _SETTLED))
 
     compared = fetched.repartition(parts, "bucket").mapInArrow(compare, _SPANS)
-    spans = early.unionByName(first.where(F.col("what") == _SETTLED)).unionByName(compared)
-    return spans.select("doc", "start", "stop")
+    spans = first.where(F.col("what") == _SETTLED).unionByName(compared)
+    by_doc = spans.groupBy("doc").agg(F.collect_list("start").alias("start"), F.collect_list("stop").alias("stop"))
+    return by_doc.mapInArrow(_merged, "doc long, spans array<struct<start: long, stop: long>>")
+
+
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each text's overlapping or touching spans as one."""
+    for batch in batches:
+        many = np.diff(batch.column(1).offsets.to_numpy()) if batch.num_rows else np.zeros(0, np.int64)
+        text = np.repeat(np.arange(len(many)), many)
+        start, stop = (batch.column(i).flatten().to_numpy(zero_copy_only=False) for i in (1, 2))
+        order = np.lexsort((start, text))
+        text, start, stop = text[order], start[order], stop[order]
+        wide = int(stop.max(initial=0)) + 1
+        reached = np.maximum.accumulate(stop + text * wide) if len(stop) else stop
+        new = np.ones(len(text), bool)
+        new[1:] = (text[1:] != text[:-1]) | (start[1:] + text[1:] * wide > reached[:-1])
+        begin = np.flatnonzero(new)
+        end = reached[np.append(begin[1:], len(text)) - 1] - text[begin] * wide if len(text) else stop
+        offsets = np.searchsorted(text[begin], np.arange(batch.num_rows + 1)).astype(np.int32)
+        spans = pa.StructArray.from_arrays([pa.array(start[begin]), pa.array(end)], ["start", "stop"])
+        yield pa.record_batch([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), spans)], ["doc", "spans"])
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts under Zstandard, for the way through a shuffle."""
+    for batch in batches:
+        blobs = [pa.compress(t.as_buffer(), "zstd", asbytes=True) if t.is_valid else None for t in batch.column(1)]
+        sizes = [len(t.as_buffer()) if t.is_valid else 0 for t in batch.column(1)]
+        yield pa.record_batch([batch.column(0), pa.array(sizes, pa.int64()), pa.array(blobs, pa.binary())], ["doc", "size", "packed"])
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        size = np.cumsum(batch.column(1).to_numpy())
+        at = 0
+        while at < batch.num_rows:
+            end = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + most, "right")))
+            part = batch.slice(at, end - at)
+            texts = [pa.decompress(b.as_buffer(), n, "zstd", asbytes=True) if b.is_valid else None for n, b in zip(part.column(1).to_pylist(), part.column(2), strict=True)]
+            yield pa.record_batch([part.column(0), pa.array(texts, pa.binary()), part.column(3)], ["doc", "_text", "asked"])
+            at = end
 
 
 def _left(own: np.ndarray, spans: pa.Scalar) -> tuple[int, int, bytes]:
@@ -359,7 +409,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     go too, from the text but not from kept_sha256. Columns of docs named like the new ones are replaced.
     """
     new = ["n_bytes", "n_removed", "n_spans", "kept_sha256"]
-    by_doc = cut(repeated_spans(docs, id_col, text_col, length).groupBy("doc").agg(F.collect_list(F.struct("start", "stop")).alias("_spans")))
+    by_doc = store(repeated_spans(docs, id_col, text_col, length).withColumnRenamed("spans", "_spans"))
     size = by_doc.agg(F.count(F.lit(1)), F.sum(F.size("_spans"))).first()
     names = [c for c in docs.columns if c not in new and c != text_col]
     rows = docs.select(*names, F.col(id_col).cast("long").alias("_doc"), F.col(text_col).alias("_text"))
