@@ -269,9 +269,8 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     first = store(packets.repartition(parts, "bucket").mapInArrow(settle, _SPANS))
     wanted = first.where(F.col("what") != _SETTLED)
     asked = store(wanted.groupBy("doc").agg(F.collect_list(F.struct("start", "stop", "what")).alias("asked")))
-    size = asked.agg(F.count(F.lit(1)), F.sum(F.size("asked"))).first()
     packed = rows.where("doc is not null").mapInArrow(_packed, "doc long, size long, packed binary")
-    whole = packed.join(broadcast_if_small(asked, max(size[0], size[1] or 0), 40), "doc")
+    whole = packed.join(asked.hint("merge"), "doc")
     wide = reach + length
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
