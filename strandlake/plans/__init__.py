@@ -1 +1 @@
-
+"""Queries and the block codec."""

@@ -1 +1 @@
-
+"""Micro-batch input."""
