@@ -9,6 +9,8 @@ from __future__ import annotations
 import json
 import os
 import re
+import sys
+from array import array
 from collections.abc import Callable, Iterator
 
 import ahocorasick
@@ -20,7 +22,7 @@ from pyspark.sql import functions as F
 from .common import slices, small_batches
 
 #: Encoded words kept by a worker at once.
-CACHE = 400_000
+CACHE = 500_000
 _LETTER = "A-Za-zÀ-ÖØ-öø-ÿ"
 _BLANK = "\t-\r "
 #: A character outside ASCII and the letters of Latin-1: the text then goes through the tokenizers library's own normaliser and splitter.
@@ -189,6 +191,22 @@ class Merges:
         return [blob[first[i] : first[i + 1]] if ok else next(failed) for i, ok in enumerate(fine)]
 
 
+def _ranked(spec: dict) -> Callable[[bytes], list[int]] | None:
+    """tiktoken's merge loop over the same vocabulary, if its ids follow the order of its merges and sit in the byte alphabet; else None."""
+    model, suffix = spec["model"], spec["model"].get("end_of_word_suffix")
+    vocab = model["vocab"]
+    made = [vocab["".join(m) if isinstance(m, list) else m.replace(" ", "")] for m in model["merges"]]
+    back = {c: b for b, c in enumerate(byte_alphabet())}
+    special = {t["content"] for t in spec["added_tokens"]}
+    plain = {t: i for t, i in vocab.items() if t not in special}
+    if suffix or made != sorted(set(made)) or array("I").itemsize != 4 or sys.byteorder != "little" or not all(c in back for t in plain for c in t):
+        return None
+    import tiktoken
+
+    ranks = {bytes(back[c] for c in t): i for t, i in plain.items()}
+    return tiktoken.Encoding("own", pat_str=r"\S+|\s+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
+
+
 class Encoder:
     """Ids of texts under a vocabulary file of the tokenizers library, in little-endian unsigned 32-bit integers.
 
@@ -205,6 +223,7 @@ class Encoder:
         self.library.no_padding()
         self.suffix = spec["model"].get("end_of_word_suffix") or ""
         self.merges = Merges(spec["model"], self.suffix) if speculate else None
+        self.ranked = None if speculate else _ranked(spec)
         self.bytes = byte_alphabet()
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.at_special = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
@@ -247,8 +266,10 @@ class Encoder:
                 todo.append(w)
         if todo and self.merges is None:
             known = {w for w in todo if w[0] != _END and _GAP not in w}
-            found = self.library.encode_batch_fast(list(known), add_special_tokens=False)
-            cache.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(known, found, strict=True))
+            if self.ranked is not None:
+                cache.update((w, array("I", self.ranked(w.encode())).tobytes()) for w in known)
+            found = self.library.encode_batch_fast([w for w in known if w not in cache], add_special_tokens=False)
+            cache.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip([w for w in known if w not in cache], found, strict=True))
             for w in set(todo) - known:  # cut by the library, already written in the byte alphabet
                 model = self.library.model
                 cache[w] = np.array([t.id for t in model.tokenize(w[1:] if w[0] == _END and len(w) > 1 else "".join([self.bytes[b] for b in w.encode()]))], "<u4").tobytes()
