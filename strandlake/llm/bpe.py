@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, small_batches
+from .common import resident, slices, small_batches
 
 #: Encoded words kept by a worker at once.
 CACHE = 500_000
@@ -287,16 +287,9 @@ class Encoder:
         return " ".join(map(self.names.__getitem__, listed))
 
 
-_encoders: dict[tuple[int, bool], Encoder] = {}
-
-
 def encoder_of(source: str, speculate: bool = True) -> Encoder:
     """The worker's encoder of this vocabulary; it lives on from task to task."""
-    key = hash(source), speculate
-    if key not in _encoders:
-        _encoders.clear()
-        _encoders[key] = Encoder(source, speculate)
-    return _encoders[key]
+    return resident((hash(source), speculate), lambda: Encoder(source, speculate))
 
 
 def vocabulary(path: str) -> str:

@@ -6,9 +6,11 @@ a few array steps rather than a Python object.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import TypeVar
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 U = np.uint64
+T = TypeVar("T")
 #: Rows up to which a side of a join may be broadcast; beyond it the join shuffles.
 BROADCAST_ROWS = 400_000
 #: Bytes up to which a side of a join may be broadcast.
@@ -90,6 +93,24 @@ def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Itera
         at = end
 
 
+_resident: dict[object, object] = {}
+
+
+def resident(key: object, make: Callable[[], T]) -> T:
+    """What a Python worker keeps from task to task, one thing at a time: whatever another operator left behind goes first."""
+    if key not in _resident:
+        release()
+        _resident[key] = make()
+    return _resident[key]
+
+
+def release() -> None:
+    """Drops what an earlier operator left in this worker."""
+    if _resident:
+        _resident.clear()
+        gc.collect()
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser (multiply and xor-shift)."""
     x = x ^ (x >> U(30))

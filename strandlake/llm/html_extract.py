@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import release, small_batches
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(script|style|title|textarea|template|noscript|svg|math|xmp|noframes)(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)"
@@ -211,6 +211,7 @@ def html_extract(pages: DataFrame, html_col: str = "html", sample_rows: int = 40
     schema = kept.select(*names).schema.add("text", "string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             texts = pa.array([extract(x.as_py(), weights) for x in batch.column(len(names))], pa.string())
             yield pa.record_batch([*(batch.column(i) for i in range(len(names))), texts], [*names, "text"])

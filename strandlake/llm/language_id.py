@@ -14,14 +14,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructType
 
-from .common import small_batches
+from .common import release, resident, small_batches
 
 LETTERS = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
 #: Length of the n-grams to which an unseen word falls back, in turn.
 ORDERS = (5, 4, 3, 2, 1)
 #: Scored words kept by a worker at once.
-CACHE = 250_000
+CACHE = 200_000
 
 
 @dataclass
@@ -87,24 +87,19 @@ class Scorer(dict):
         return self.model.langs[best], float(p[best] / p.sum())
 
 
-_scorers: dict[str, Scorer] = {}
-
-
 def scorer_of(model: LanguageModel) -> Scorer:
     """The worker's scorer of this model; it lives on from task to task."""
-    if model.key not in _scorers:
-        _scorers.clear()
-        _scorers[model.key] = Scorer(model)
-    return _scorers[model.key]
+    return resident(model.key, lambda: Scorer(model))
 
 
-def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", max_words: int = 40_000, max_grams: int = 40_000) -> LanguageModel:
+def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", max_words: int = 25_000, max_grams: int = 20_000) -> LanguageModel:
     """Counts words and n-grams by language and keeps the most frequent of each: the model's size, and so what is shipped to workers, is bounded.
 
     Rows whose text or language is null don't count. Ties at the cut go to the first in order of name.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         found: dict[str, Counter] = {}
 
         def flush() -> pa.RecordBatch:
@@ -122,7 +117,7 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", max
         for batch in batches:
             for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 found.setdefault(lang, Counter()).update(LETTERS.findall(text.lower()))
-                if sum(map(len, found.values())) > 200_000:
+                if sum(map(len, found.values())) > 30_000:
                     yield flush()
         yield flush()
 
@@ -177,14 +172,14 @@ def is_held_out(id_col: str) -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_rows: int = 12_000) -> LanguageModel:
+def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_rows: int = 4_000) -> LanguageModel:
     """A model from about `sample_rows` of the labelled rows at most that aren't held out; a hash of the id chooses them."""
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.col(lang_col).alias("_lang"))
     labelled = rows.where(~is_held_out("_id") & F.col("_text").isNotNull() & F.col("_lang").isNotNull())
     return fit(bounded_sample(labelled, "_id", sample_rows), "_text", "_lang")
 
 
-def keep_identified(docs: DataFrame, min_score: float = 0.5, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_rows: int = 12_000) -> DataFrame:
+def keep_identified(docs: DataFrame, min_score: float = 0.5, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_rows: int = 4_000) -> DataFrame:
     """The rows whose language is identified (not `und`) with a score of min_score or more; without any labelled row, those with a letter."""
     model = learn(docs, id_col, text_col, lang_col, sample_rows)
     if not model.langs:
@@ -194,7 +189,7 @@ def keep_identified(docs: DataFrame, min_score: float = 0.5, id_col: str = "doc_
     return found.withColumnsRenamed({f"_own_{c}": c for c in ("lang_pred", "score")}).select(*docs.columns)
 
 
-def language_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_rows: int = 12_000) -> DataFrame:
+def language_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_rows: int = 4_000) -> DataFrame:
     """One row per input row: <id_col>, held_out, lang_pred, score.
 
     Learns from rows with a text and a language whose crc32(id as text) mod 3 isn't 1, about `sample_rows` of them at most

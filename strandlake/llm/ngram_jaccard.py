@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Hashes, U, broadcast_if_small, cut, mix, shingles, shuffle_partitions, slices, small_batches, utf8, words
+from .common import Hashes, U, broadcast_if_small, cut, mix, release, shingles, shuffle_partitions, slices, small_batches, utf8, words
 from .components import components
 
 
@@ -216,6 +216,7 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     kind = rows.schema["_id"].dataType.simpleString()
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             for part in slices(batch, "_text"):
                 h, off = shingle_sets(part, 1, paths.words)

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Hashes, cut, runs, shingles, slices, small_batches, utf8, words
+from .common import Hashes, cut, release, runs, shingles, slices, small_batches, utf8, words
 from .language_id import is_held_out
 
 FEATURES = (
@@ -147,6 +147,7 @@ def quality_classifier(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id
     """
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             for part in slices(batch, "_text"):
                 x = statistics(*utf8(part.column(1)))

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U, Hashes, broadcast_if_small, mix, shuffle_partitions, slices, small_batches, store, utf8
+from .common import Hashes, U, broadcast_if_small, mix, release, shuffle_partitions, slices, small_batches, store, utf8
 
 LENGTH, GRAM = 100, 20
 #: Differing surroundings of one gram in one place from which each string of them becomes a group of its own, spread by its hash.
@@ -188,6 +188,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     reach = length - gram
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         held: list[np.ndarray] = []
 
         def flush() -> Iterator[pa.RecordBatch]:
