@@ -129,14 +129,12 @@ _tables: dict[int, np.ndarray] = {}
 def _powers(radix: int, n: int) -> np.ndarray:
     table = _tables.get(radix)
     if table is None or len(table) < n:
-        n = 1 << max(16, n.bit_length())
-        table = np.full(n, U(radix))
-        table[0] = U(1)
-        with np.errstate(over="ignore"):
-            np.multiply.accumulate(table, out=table)
-        if n > 1 << 24:
-            return table
-        _tables[radix] = table
+        size = 1 << max(16, n.bit_length())
+        factors = np.full(size, U(radix))
+        factors[0] = U(1)
+        table = np.multiply.accumulate(factors)
+        if size <= 1 << 24:
+            _tables[radix] = table
     return table[:n]
 
 
