@@ -299,17 +299,17 @@ def vocabulary(path: str) -> str:
 
 def over_texts(docs: DataFrame, text_col: str, name: str, kind: str, work: Callable[[list], pa.Array]) -> DataFrame:
     """docs without the text, with a column that `work` makes from slices of texts (None where null); a column of that name is replaced."""
-    kept = docs.drop(name).withColumn("_in", F.col(text_col)) if name in docs.columns and name != text_col else docs.withColumn("_in", F.col(text_col))
+    kept = docs.drop(name).withColumn("__sl_in", F.col(text_col)) if name in docs.columns and name != text_col else docs.withColumn("__sl_in", F.col(text_col))
     kept = kept.drop(text_col)
-    names = [c for c in kept.columns if c != "_in"]
+    names = [c for c in kept.columns if c != "__sl_in"]
     schema = kept.select(*names).schema.add(name, kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "_in", 2 << 20):
+            for part in slices(batch, "__sl_in", 2 << 20):
                 yield pa.record_batch([*(part.column(i) for i in range(len(names))), work(part.column(len(names)).to_pylist())], [*names, name])
 
-    return kept.select(*names, "_in").mapInArrow(run, schema)
+    return kept.select(*names, "__sl_in").mapInArrow(run, schema)
 
 
 def bpe_encode(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
@@ -324,5 +324,5 @@ def bpe_encode(docs: DataFrame, path: str, text_col: str = "text", ids_col: str
 def bpe_decode(rows: DataFrame, path: str, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
     """rows with the decoded text beside the ids; null ids decode to ""."""
     source = small_batches(rows.sparkSession).sparkContext.broadcast(vocabulary(path))
-    both = rows.withColumn("_ids", F.col(ids_col))
-    return over_texts(both, "_ids", text_col, "string", lambda ids: pa.array([encoder_of(source.value).decode(i or b"") for i in ids], pa.string()))
+    both = rows.withColumn("__sl_ids", F.col(ids_col))
+    return over_texts(both, "__sl_ids", text_col, "string", lambda ids: pa.array([encoder_of(source.value).decode(i or b"") for i in ids], pa.string()))

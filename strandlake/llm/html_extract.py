@@ -188,7 +188,7 @@ def fit(pages: DataFrame, html_col: str = "html") -> dict[tuple[int, str], float
         rows = [(t, k, i, n) for (t, k, i), n in found.items() if len(k) <= 40]
         yield pa.record_batch([pa.array([r[j] for r in rows], kind) for j, kind in enumerate((pa.int32(), pa.string(), pa.bool_(), pa.int64()))], ["token", "kind", "inside", "n"])
 
-    counted = pages.select(F.col(html_col).alias("_html")).mapInArrow(count, "token int, kind string, inside boolean, n long").groupBy("token", "kind", "inside").agg(F.sum("n").alias("n"))
+    counted = pages.select(F.col(html_col).alias("__sl_html")).mapInArrow(count, "token int, kind string, inside boolean, n long").groupBy("token", "kind", "inside").agg(F.sum("n").alias("n"))
     common = counted.orderBy(F.desc("n"), "token", "kind", "inside").limit(2000).collect()
     return weights_of(Counter({(r["token"], r["kind"], r["inside"]): r["n"] for r in common}))
 
@@ -201,13 +201,13 @@ def html_extract(pages: DataFrame, html_col: str = "html", sample_rows: int = 40
     """
     small_batches(pages.sparkSession)
     if weights is None:
-        labelled = pages.select(F.col(id_col).alias("_id"), F.col(html_col).alias("_html")).where(F.col("_html").rlike(r"(?i)<(article|main)[\s>]"))
+        labelled = pages.select(F.col(id_col).alias("_id"), F.col(html_col).alias("__sl_html")).where(F.col("__sl_html").rlike(r"(?i)<(article|main)[\s>]"))
         chosen = labelled.select("_id", F.xxhash64("_id").alias("_h")).orderBy("_h").limit(sample_rows)
-        weights = fit(labelled.join(F.broadcast(chosen.select("_id").distinct()), "_id", "left_semi"), "_html")
-    kept = pages.drop("text", "n_chars").withColumn("_html", F.col(html_col))
+        weights = fit(labelled.join(F.broadcast(chosen.select("_id").distinct()), "_id", "left_semi"), "__sl_html")
+    kept = pages.drop("text", "n_chars").withColumn("__sl_html", F.col(html_col))
     if html_col in kept.columns:
         kept = kept.drop(html_col)
-    names = [c for c in kept.columns if c != "_html"]
+    names = [c for c in kept.columns if c != "__sl_html"]
     schema = kept.select(*names).schema.add("text", "string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,4 +216,4 @@ def html_extract(pages: DataFrame, html_col: str = "html", sample_rows: int = 40
             texts = pa.array([extract(x.as_py(), weights) for x in batch.column(len(names))], pa.string())
             yield pa.record_batch([*(batch.column(i) for i in range(len(names))), texts], [*names, "text"])
 
-    return kept.select(*names, "_html").mapInArrow(run, schema).withColumn("n_chars", F.char_length("text").cast("long"))
+    return kept.select(*names, "__sl_html").mapInArrow(run, schema).withColumn("n_chars", F.char_length("text").cast("long"))

@@ -137,18 +137,18 @@ def best_fit_pack(pieces: DataFrame, length_col: str = "length", capacity: Capac
     A row's rank is that within its length in its partition plus the counts of the partitions before; no task gets a whole length. Columns
     named sequence_id or offset are replaced; a null length, or one outside 1 to capacity, is an error.
     """
-    base = cut(pieces.drop("sequence_id", "offset").withColumns({"_row": F.monotonically_increasing_id(), "_part": F.spark_partition_id(), "_len": F.col(length_col).cast("long")}))
-    by_part = base.groupBy("_len", "_part").agg(F.count(F.lit(1)).alias("_n"))
-    before = by_part.withColumn("_before", F.coalesce(F.sum("_n").over(Window.partitionBy("_len").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    found = by_part.groupBy("_len").agg(F.sum("_n").alias("n")).orderBy("_len").limit(capacity.tokens + 2).collect()
-    if any(r["_len"] is None for r in found):
+    base = cut(pieces.drop("sequence_id", "offset").withColumns({"__sl_row": F.monotonically_increasing_id(), "__sl_part": F.spark_partition_id(), "__sl_len": F.col(length_col).cast("long")}))
+    by_part = base.groupBy("__sl_len", "__sl_part").agg(F.count(F.lit(1)).alias("__sl_n"))
+    before = by_part.withColumn("__sl_before", F.coalesce(F.sum("__sl_n").over(Window.partitionBy("__sl_len").orderBy("__sl_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    found = by_part.groupBy("__sl_len").agg(F.sum("__sl_n").alias("n")).orderBy("__sl_len").limit(capacity.tokens + 2).collect()
+    if any(r["__sl_len"] is None for r in found):
         raise ValueError("a piece has no length")
-    runs, _ = vector_best_fit(np.array([r["_len"] for r in found], np.int64), np.array([r["n"] for r in found], np.int64), capacity)
+    runs, _ = vector_best_fit(np.array([r["__sl_len"] for r in found], np.int64), np.array([r["n"] for r in found], np.int64), capacity)
     runs = runs[np.lexsort((runs[:, 1], runs[:, 0]))]
     shipped = base.sparkSession.sparkContext.broadcast(runs)
-    rank = F.row_number().over(Window.partitionBy("_len", "_part").orderBy("_row")) - 1
-    ranked = base.withColumn("_rank", rank.cast("long")).join(before.drop("_n"), ["_len", "_part"]).withColumn("_rank", F.col("_rank") + F.col("_before"))
-    names = [c for c in base.columns if c not in ("_row", "_part", "_len")]
+    rank = F.row_number().over(Window.partitionBy("__sl_len", "__sl_part").orderBy("__sl_row")) - 1
+    ranked = base.withColumn("__sl_rank", rank.cast("long")).join(before.drop("__sl_n"), ["__sl_len", "__sl_part"]).withColumn("__sl_rank", F.col("__sl_rank") + F.col("__sl_before"))
+    names = [c for c in base.columns if c not in ("__sl_row", "__sl_part", "__sl_len")]
     schema = pieces.select(*names).schema.add("sequence_id", "long").add("offset", "long")
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,4 +160,4 @@ def best_fit_pack(pieces: DataFrame, length_col: str = "length", capacity: Capac
             inner = r - lo[k]
             yield pa.record_batch([*batch.columns[2:], pa.array(first[k] + inner // each[k]), pa.array(offset[k] + inner % each[k] * n)], schema.names)
 
-    return ranked.select("_len", "_rank", *names).mapInArrow(place, schema)
+    return ranked.select("__sl_len", "__sl_rank", *names).mapInArrow(place, schema)

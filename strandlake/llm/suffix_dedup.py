@@ -409,19 +409,19 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     go too, from the text but not from kept_sha256. Columns of docs named like the new ones are replaced.
     """
     new = ["n_bytes", "n_removed", "n_spans", "kept_sha256"]
-    by_doc = store(repeated_spans(docs, id_col, text_col, length).withColumnRenamed("spans", "_spans"))
-    size = by_doc.agg(F.count(F.lit(1)), F.sum(F.size("_spans"))).first()
+    by_doc = store(repeated_spans(docs, id_col, text_col, length).withColumnRenamed("spans", "__sl_spans"))
+    size = by_doc.agg(F.count(F.lit(1)), F.sum(F.size("__sl_spans"))).first()
     names = [c for c in docs.columns if c not in new and c != text_col]
-    rows = docs.select(*names, F.col(id_col).cast("long").alias("_doc"), F.col(text_col).alias("_text"))
-    spans = by_doc.withColumnRenamed("doc", "_doc")
-    joined = rows.join(broadcast_if_small(spans, max(size[0], size[1] or 0), 32), "_doc", "left").select(*names, "_text", "_spans")
+    rows = docs.select(*names, F.col(id_col).cast("long").alias("__sl_doc"), F.col(text_col).alias("__sl_text"))
+    spans = by_doc.withColumnRenamed("doc", "__sl_doc")
+    joined = rows.join(broadcast_if_small(spans, max(size[0], size[1] or 0), 32), "__sl_doc", "left").select(*names, "__sl_text", "__sl_spans")
     out = [*docs.select(*names).columns, *new, *[text_col] * as_text]
     schema = docs.select(*names).schema.add("n_bytes", "long").add("n_removed", "long").add("n_spans", "long").add("kept_sha256", "string")
     schema = schema.add(text_col, "string") if as_text else schema
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "_text"):
+            for part in slices(batch, "__sl_text"):
                 data, off = utf8(part.column(len(names)))
                 found = [_left(data[a:b], s) for a, b, s in zip(off[:-1].tolist(), off[1:].tolist(), part.column(len(names) + 1), strict=True)]
                 columns = [*(part.column(i) for i in range(len(names))), pa.array(np.diff(off)), *(pa.array([f[i] for f in found], pa.int64()) for i in (0, 1))]
