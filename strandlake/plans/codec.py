@@ -83,7 +83,7 @@ def encode_symbols(symbols: np.ndarray, size: int, order: int) -> bytes:
     write_varint(out, n)
     if not n:
         return bytes(out)
-    lanes = int(min(256, max(1, n // 64)))
+    lanes = int(min(256, max(1, n // 512)))
     steps = -(-n // lanes)
     grid = np.zeros(lanes * steps, np.int64)
     grid[:n] = symbols
