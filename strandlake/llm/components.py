@@ -11,11 +11,12 @@ from .common import cut
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, root) for every node of the edges (a, b), root being the smallest node of its component. Repeated edges and loops do no harm.
 
+    The edges are evaluated once: each must come both ways, even if another evaluation would give other edges of the same components.
     Each round a node takes the least label around it, then its label's label; the minimum is taken before the shuffle, so that a hub costs
     no more than other nodes.
     """
-    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    both = cut(both)
+    there, back = F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))
+    both = cut(edges.select(F.explode(F.array(there, back)).alias("e")).select("e.a", "e.b").distinct())
     labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("root")))
     last = None
     for _ in range(most_rounds):

@@ -259,7 +259,7 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     for more in ended[1:]:
         met = met.unionByName(more)
     bucketed = met.select(F.xxhash64("bucket", "pair").alias("bucket"), "digest").join(classes.select("digest", "n", "sketch"), "digest").select("bucket", "digest", "n", "sketch")
-    edges = bucketed.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_bucket_edges(paths), "a long, b long")
+    edges = bucketed.repartition(parts, "bucket").sortWithinPartitions("bucket", "digest").mapInArrow(_bucket_edges(paths), "a long, b long")
     cluster = components(edges)
     sizes = cluster.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / paths.block).cast("int").alias("blocks"))
     wanted = cut(cluster.join(sizes, "root").join(classes.select(F.col("digest").alias("node"), "n", "members", F.col("rep.id").alias("_id")), "node"))
@@ -297,7 +297,7 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             columns = [np.concatenate(x).astype(np.int64) if x else np.zeros(0, np.int64) for x in (a, b, links)]
             yield pa.record_batch([pa.array(x) for x in columns], ["a", "b", "links"])
 
-    verified = cut(paired.repartition(parts, "root", "pair").sortWithinPartitions("root", "pair").mapInArrow(verify, "a long, b long, links long"))
+    verified = cut(paired.repartition(parts, "root", "pair").sortWithinPartitions("root", "pair", "digest").mapInArrow(verify, "a long, b long, links long"))
     links = verified.groupBy(F.col("a").alias("digest")).agg(F.sum("links").alias("links"))
     linked = components(verified.where("a != b")).withColumnRenamed("node", "digest")
     about = classes.select("digest", "rep", "members").join(links, "digest", "left").join(linked, "digest", "left").withColumn("root", F.coalesce("root", "digest"))

@@ -6,6 +6,7 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -153,6 +154,19 @@ def test_jaccard(spark):
         assert [got[i]["n_links"] for i in range(len(texts))] == want
 
 
+def test_components_of_unsteady_edges(spark):
+    from strandlake.llm.components import components
+
+    def trees(batches):  # every evaluation gives other trees over the same groups of 30
+        rng = np.random.default_rng()
+        for batch in batches:
+            edges = [(int(g * 30 + a), int(g * 30 + b)) for g in batch.column(0).to_pylist() for p in [rng.permutation(30)] for a, b in zip(p[:-1], p[1:], strict=True)]
+            yield pa.record_batch([pa.array([e[i] for e in edges], pa.int64()) for i in (0, 1)], ["a", "b"])
+
+    got = components(spark.range(40).mapInArrow(trees, "a long, b long")).collect()
+    assert sorted(map(tuple, got)) == [(i, i // 30 * 30) for i in range(1200)]
+
+
 def test_quality(spark):
     bad = "BUY!! NOW!! *** $$$ | | | "
     texts = [None, "", *[PROSE * (2 + i % 5) for i in range(60)], *[bad * (2 + i % 7) for i in range(60)]]
