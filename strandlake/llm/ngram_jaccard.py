@@ -23,9 +23,10 @@ from .components import components
 
 @dataclass(frozen=True)
 class Paths:
-    """threshold: least similarity; recall: wanted chance that a pair at the threshold meets in a run, for paths of one step.
+    """threshold: least similarity; recall: wanted chance that a pair at the threshold ends together in a run, whatever the length of its paths.
 
     bucket: sets at which a path may end; longer paths, `depth` steps at most, only for fuller ones, which are then compared in blocks.
+    A pair at the threshold ends together with the probability threshold ** depth at least in each run, so that many runs are needed.
     sketch: bytes of minwise sketch; slack: how far a sketch's estimate may lie under the threshold (5 standard deviations at 128 bytes).
     """
 
@@ -40,7 +41,7 @@ class Paths:
 
     @property
     def runs(self) -> int:
-        return math.ceil(math.log(1 - self.recall) / math.log(1 - self.threshold))
+        return math.ceil(math.log(1 - self.recall) / math.log(1 - self.threshold**self.depth))
 
 
 def _salt(n: int) -> np.ndarray:
