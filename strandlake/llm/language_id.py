@@ -10,6 +10,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructType
@@ -26,13 +27,10 @@ CACHE = 200_000
 
 @dataclass
 class LanguageModel:
-    """Counts of words and n-grams by language; the arrays follow `langs`."""
+    """Counts by language of words (`counts[0]`) and of n-grams (`counts[n]`): the strings and a matrix with a row for each; columns follow `langs`."""
 
     langs: list[str]
-    words: dict[str, np.ndarray] = field(default_factory=dict)
-    grams: dict[str, np.ndarray] = field(default_factory=dict)
-    word_total: np.ndarray = field(default_factory=lambda: np.zeros(0))
-    gram_total: dict[int, np.ndarray] = field(default_factory=dict)
+    counts: dict[int, tuple[list[str], np.ndarray]] = field(default_factory=dict)
     key: str = field(default_factory=lambda: uuid.uuid4().hex)
 
 
@@ -41,29 +39,25 @@ def _grams(word: str, n: int) -> list[str]:
     return [padded[i : i + n] for i in range(len(padded) - n + 1)]
 
 
-def _log_frequencies(counts: dict[str, np.ndarray], total: np.ndarray) -> dict[str, np.ndarray]:
-    if not counts:
-        return {}
-    return dict(zip(counts, np.log((np.stack(list(counts.values())) + 0.5) / (total + 0.5 * len(counts))), strict=True))
-
-
 class Scorer(dict):
     """word -> row of `table`, which holds its log frequencies; a missing word is scored on first sight."""
 
     def __init__(self, model: LanguageModel):
         super().__init__()
         self.model, self.table = model, np.zeros((CACHE, max(1, len(model.langs))), np.float32)
-        self.known = _log_frequencies(model.words, model.word_total)
-        self.gram: dict[str, np.ndarray] = {}
-        for n in ORDERS:
-            self.gram |= _log_frequencies({g: c for g, c in model.grams.items() if len(g) == n}, model.gram_total.get(n))
+        self.row: dict[int, dict[str, int]] = {}
+        self.log: dict[int, np.ndarray] = {}
+        for n, (strings, counts) in model.counts.items():
+            self.row[n] = {x: i for i, x in enumerate(strings)}
+            self.log[n] = np.log((counts + 0.5) / (counts.sum(0) + 0.5 * len(counts))).astype(np.float32)
 
     def score(self, word: str) -> np.ndarray:
-        if (row := self.known.get(word)) is not None:
-            return row
+        if (at := self.row.get(0, {}).get(word)) is not None:
+            return self.log[0][at]
         for n in ORDERS:
-            if seen := [row for g in _grams(word, n) if (row := self.gram.get(g)) is not None]:
-                return sum(seen) / len(seen)
+            row = self.row.get(n, {})
+            if seen := [at for g in _grams(word, n) if (at := row.get(g)) is not None]:
+                return self.log[n][seen].mean(0, dtype=np.float64)
         return np.zeros(self.table.shape[1])
 
     def __missing__(self, word: str) -> int:
@@ -92,10 +86,10 @@ def scorer_of(model: LanguageModel) -> Scorer:
     return resident(model.key, lambda: Scorer(model))
 
 
-def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", max_words: int = 25_000, max_grams: int = 20_000) -> LanguageModel:
-    """Counts words and n-grams by language and keeps the most frequent of each: the model's size, and so what is shipped to workers, is bounded.
+def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", min_count: int = 2) -> LanguageModel:
+    """Counts words and n-grams by language and keeps all that occur min_count times or more; each language with a word is learned.
 
-    Rows whose text or language is null don't count. Ties at the cut go to the first in order of name.
+    Rows whose text or language is null don't count. The size of the model, which is shipped to workers, grows with the vocabulary of `labelled`.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,25 +119,35 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", max
     rows = labelled.select(F.col(text_col).alias("t"), F.col(lang_col).alias("l")).where("t is not null and l is not null")
     counts = rows.mapInArrow(count, "lang string, gram string, k int, n long").groupBy("k", "gram", "lang").agg(F.sum("n").alias("n"))
     by_gram = counts.groupBy("k", "gram").agg(F.collect_list(F.struct("lang", "n")).alias("by"), F.sum("n").alias("n"))
-    words = by_gram.where("k = 0 and n > 1").orderBy(F.desc("n"), "gram").limit(max_words)
-    grams = by_gram.where("k > 0 and n > 1").orderBy(F.desc("n"), "gram").limit(max_grams)
-    found = words.unionByName(grams).collect()
-    langs = sorted({b["lang"] for r in found for b in r["by"]})
+    # unigrams stay whatever their count, so that no language goes missing
+    found = by_gram.where((F.col("n") >= min_count) | (F.col("k") == 1)).select("k", "gram", "by").toArrow().combine_chunks().sort_by([("k", "ascending"), ("gram", "ascending")])
+    by = found.column("by").combine_chunks()
+    owner, flat = pc.list_parent_indices(by).to_numpy(), pc.list_flatten(by)
+    lang, n = pc.struct_field(flat, "lang").dictionary_encode(), pc.struct_field(flat, "n").to_numpy()
+    langs = sorted(lang.dictionary.to_pylist())
+    rank = np.array([langs.index(x) for x in lang.dictionary.to_pylist()], np.int64)
+    counts = np.zeros((found.num_rows, len(langs)), np.int64)
+    counts[owner, rank[lang.indices.to_numpy()]] = n
+    strings, k = found.column("gram").to_pylist(), found.column("k").to_numpy()
     model = LanguageModel(langs)
-    for r in found:
-        row = np.zeros(len(langs))
-        for b in r["by"]:
-            row[langs.index(b["lang"])] = b["n"]
-        (model.grams if r["k"] else model.words)[r["gram"]] = row
-    model.word_total = sum(model.words.values(), np.zeros(len(langs)))
-    model.gram_total = {k: sum((c for g, c in model.grams.items() if len(g) == k), np.zeros(len(langs))) for k in ORDERS}
+    for order in np.unique(k).tolist():
+        lo, hi = np.searchsorted(k, [order, order + 1]).tolist()
+        model.counts[order] = strings[lo:hi], counts[lo:hi]
     return model
 
 
-def bounded_sample(rows: DataFrame, id_col: str, most: int) -> DataFrame:
-    """About `most` of the rows, chosen by a hash of the id, or all of them if there are no more."""
-    n = rows.count()
-    return rows if n <= most else rows.where(F.pmod(F.xxhash64(F.lit(7), id_col), F.lit(1_000_000)) < int(1_000_000 * most / n))
+def stratified_sample(rows: DataFrame, lang_col: str, by: list[str], most: int) -> DataFrame:
+    """About `most` of the rows, chosen by a hash of the columns `by`: as many of each language, and all rows of a language that has fewer."""
+    sizes = sorted((n, lang) for lang, n in rows.groupBy(lang_col).count().collect())
+    rates, left = [], most
+    for i, (n, lang) in enumerate(sizes):
+        share = min(n, left / (len(sizes) - i))
+        rates.append((lang, int(1_000_000 * share / n)))
+        left -= share
+    if all(rate == 1_000_000 for _, rate in rates):
+        return rows
+    below = F.broadcast(rows.sparkSession.createDataFrame(rates, f"{lang_col} string, _rate int"))
+    return rows.join(below, lang_col).where(F.pmod(F.xxhash64(F.lit(7), *by), F.lit(1_000_000)) < F.col("_rate")).select(*rows.columns)
 
 
 def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:
@@ -172,16 +176,16 @@ def is_held_out(id_col: str) -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_rows: int = 4_000) -> LanguageModel:
-    """A model from about `sample_rows` of the labelled rows at most that aren't held out; a hash of the id chooses them."""
+def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_rows: int = 12_000, min_count: int = 2) -> LanguageModel:
+    """A model from about `sample_rows` of the labelled rows at most that aren't held out, dealt out over the languages; a hash of id and text chooses them."""
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.col(lang_col).alias("_lang"))
     labelled = rows.where(~is_held_out("_id") & F.col("_text").isNotNull() & F.col("_lang").isNotNull())
-    return fit(bounded_sample(labelled, "_id", sample_rows), "_text", "_lang")
+    return fit(stratified_sample(labelled, "_lang", ["_id", "_text"], sample_rows), "_text", "_lang", min_count)
 
 
-def keep_identified(docs: DataFrame, min_score: float = 0.5, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_rows: int = 4_000) -> DataFrame:
+def keep_identified(docs: DataFrame, min_score: float = 0.5, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_rows: int = 12_000, min_count: int = 2) -> DataFrame:
     """The rows whose language is identified (not `und`) with a score of min_score or more; without any labelled row, those with a letter."""
-    model = learn(docs, id_col, text_col, lang_col, sample_rows)
+    model = learn(docs, id_col, text_col, lang_col, sample_rows, min_count)
     if not model.langs:
         return docs.where(F.col(text_col).rlike(r"\p{L}"))
     found = identify(docs.withColumnsRenamed({c: f"_own_{c}" for c in ("lang_pred", "score")}), model, text_col)
@@ -189,12 +193,12 @@ def keep_identified(docs: DataFrame, min_score: float = 0.5, id_col: str = "doc_
     return found.withColumnsRenamed({f"_own_{c}": c for c in ("lang_pred", "score")}).select(*docs.columns)
 
 
-def language_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_rows: int = 4_000) -> DataFrame:
+def language_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_rows: int = 12_000, min_count: int = 2) -> DataFrame:
     """One row per input row: <id_col>, held_out, lang_pred, score.
 
-    Learns from rows with a text and a language whose crc32(id as text) mod 3 isn't 1, about `sample_rows` of them at most
-    (a hash of the id chooses); predicts from the text alone. A null id isn't held out. Without any labelled row all texts are `und`.
+    Learns from rows with a text and a language whose crc32(id as text) mod 3 isn't 1, about `sample_rows` of them at most,
+    as many of each language as there are (a hash of id and text chooses), and from all words and n-grams that occur min_count times there; predicts from the text alone. A null id isn't held out. Without any labelled row all texts are `und`.
     """
-    model = learn(docs, id_col, text_col, lang_col, sample_rows)
+    model = learn(docs, id_col, text_col, lang_col, sample_rows, min_count)
     found = identify(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")), model, "_text")
     return found.select(F.col("_id").alias(id_col), is_held_out("_id").alias("held_out"), "lang_pred", "score")

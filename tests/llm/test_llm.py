@@ -13,7 +13,7 @@ from tokenizers import Tokenizer
 from strandlake.llm.bpe import Encoder, bpe_decode, bpe_encode, vocabulary
 from strandlake.llm.exact_dedup import exact_dedup
 from strandlake.llm.html_extract import extract, html_extract
-from strandlake.llm.language_id import keep_identified, language_id
+from strandlake.llm.language_id import Scorer, fit, keep_identified, language_id, learn
 from strandlake.llm.license_scan import license_scan
 from strandlake.llm.ngram_jaccard import Paths, ngram_jaccard_join
 from strandlake.llm.packing import Capacity, best_fit_pack, cut_pieces, vector_best_fit
@@ -111,6 +111,23 @@ def test_language(spark):
     assert {r["lang_pred"] for r in language_id(docs.where("false")).collect()} == set()
 
 
+def test_language_learns_rare_languages_and_all_words(spark):
+    rng = np.random.default_rng(8)
+    common = sorted({"".join(map(chr, x)) for x in rng.integers(97, 123, (30_000, 5))})
+    rows = [(i, " ".join(common[i % 40 :: 40] * 4), "en") for i in range(80)] + [(100 + i, "жук лес жук лес", "ru") for i in range(3)]
+    model = learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"), sample_rows=12)
+    assert model.langs == ["en", "ru"]
+    model = fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert model.langs == ["en", "ru"] and set(model.counts[0][0]) == {*common, "жук", "лес"}
+    assert Scorer(model).predict("лес")[0] == "ru" and Scorer(model).predict(common[-1])[0] == "en"
+
+
+def test_language_of_words_seen_once(spark):
+    docs = spark.createDataFrame([(0, "жук", "ru"), (2, "the house the house", "en")], "doc_id long, text string, lang string")
+    assert fit(docs).langs == ["en", "ru"]
+    assert fit(docs.where("false")).langs == []
+
+
 def test_suffix(spark):
     base = "".join(chr(97 + x % 26) for x in np.random.default_rng(3).integers(0, 1000, 700).tolist())
     texts = [base, "zz" + base[100:400] + "yy" + base[350:600], None, "", base[:99], base[:100], "ab" * 300, "é" * 400, base, base[200:300] * 2]
