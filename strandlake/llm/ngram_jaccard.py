@@ -213,7 +213,7 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     spark = small_batches(docs.sparkSession)
     parts = shuffle_partitions(spark)
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.xxhash64(text_col).alias("_key"))
     kind = rows.schema["_id"].dataType.simpleString()
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -227,10 +227,10 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                 some = (size > 0).tolist()
                 blobs = [keys[i].tobytes() for i in range(len(keys))], [sketch[i].tobytes() for i in range(len(sketch))]
                 columns = [pa.array([x[i] if s else None for i, s in zip(full.tolist(), some, strict=True)], pa.binary()) for x in blobs]
-                yield pa.record_batch([part.column(0), pa.array(size), pa.array(set_digests(h, off)), *columns], ["_id", "n", "digest", "keys", "sketch"])
+                yield pa.record_batch([part.column(0), part.column(2), pa.array(size), pa.array(set_digests(h, off)), *columns], ["_id", "_key", "n", "digest", "keys", "sketch"])
 
-    signed = cut(rows.mapInArrow(sign, f"_id {kind}, n long, digest long, keys binary, sketch binary").withColumn("_row", F.monotonically_increasing_id()))
-    me = F.struct(F.col("_id").isNull().alias("no_id"), F.col("_id").alias("id"), F.col("_row").alias("row"))
+    signed = cut(rows.mapInArrow(sign, f"_id {kind}, _key long, n long, digest long, keys binary, sketch binary").withColumn("_row", F.monotonically_increasing_id()))
+    me = F.struct(F.col("_id").isNull().alias("no_id"), F.col("_id").alias("id"), F.col("_row").alias("row"), F.col("_key").alias("key"))
     classes = cut(
         signed.where("n > 0").groupBy("digest", "n").agg(F.min(me).alias("rep"), F.count(F.lit(1)).alias("members"), F.min(F.struct("keys", "sketch")).alias("s")).select("digest", "n", "rep", "members", "s.keys", "s.sketch")
     )
@@ -263,8 +263,11 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     edges = bucketed.repartition(parts, "bucket").sortWithinPartitions("bucket", "digest").mapInArrow(_bucket_edges(paths), "a long, b long")
     cluster = components(edges)
     sizes = cluster.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / paths.block).cast("int").alias("blocks"))
-    wanted = cut(cluster.join(sizes, "root").join(classes.select(F.col("digest").alias("node"), "n", "members", F.col("rep.id").alias("_id")), "node"))
-    whole = rows.join(broadcast_if_small(wanted, wanted.count()), "_id")
+    wanted = cut(cluster.join(sizes, "root").join(classes.select(F.col("digest").alias("node"), "n", "members", F.col("rep.id").alias("_id"), F.col("rep.key").alias("_key")), "node"))
+    # a representative's text is found by its id and hash; of copies without an id, one row goes on
+    names, held = broadcast_if_small(wanted, wanted.count()), ["_text", "node", "root", "blocks", "n", "members"]
+    whole = rows.join(names, ["_id", "_key"]).select(*held)
+    nameless = rows.where("_id is null").drop("_id").join(names.where("_id is null").drop("_id"), "_key").select(*held).dropDuplicates(["node", "_text"])
 
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -274,7 +277,7 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                 texts = pa.array([h[off[i] : off[i + 1]].tobytes() for i in mine.tolist()], pa.binary())
                 yield pa.record_batch([*(part.column(i).take(pa.array(mine)) for i in range(1, 6)), texts], ["digest", "root", "blocks", "n", "members", "shingles"])
 
-    spelled = whole.select("_text", F.col("node").alias("digest"), "root", "blocks", "n", "members").mapInArrow(spell, "digest long, root long, blocks int, n long, members long, shingles binary")
+    spelled = whole.unionByName(nameless).select("_text", F.col("node").alias("digest"), "root", "blocks", "n", "members").mapInArrow(spell, "digest long, root long, blocks int, n long, members long, shingles binary")
     paired = _block_pairs(spelled, "root", "digest").select("root", "pair", "digest", "n", "members", "block", "shingles")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -171,6 +171,15 @@ def test_jaccard(spark):
         assert [got[i]["n_links"] for i in range(len(texts))] == want
 
 
+def test_jaccard_of_null_ids(spark):
+    rng = np.random.default_rng(6)
+    a, b, c = (" ".join(f"w{x}" for x in rng.integers(0, 5000, 120)) for _ in range(3))
+    texts = [a, a + " more", b, b + " more", *[c] * 30, c + " more"]
+    got = ngram_jaccard_join(frame(spark, texts, [None, None, 1, *[None] * 32])).collect()
+    assert sorted((r["doc_id"] is None, r["n_shingles"], r["n_links"]) for r in got) == sorted([(True, 116, 1), (True, 117, 1), (False, 116, 1), (True, 117, 1), *[(True, 116, 30)] * 30, (True, 117, 30)])
+    assert sum(r["kept"] for r in got) == 3
+
+
 def test_components_of_unsteady_edges(spark):
     from strandlake.llm.components import components
 
