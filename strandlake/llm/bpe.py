@@ -207,10 +207,40 @@ def _ranked(spec: dict) -> Callable[[bytes], list[int]] | None:
     return tiktoken.Encoding("own", pat_str=r"\S+|\s+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
 
 
+#: The regular expressions by which the library splits texts under the public vocabulary of word ends.
+_WORD_END_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_WHITE_RUN = r"\s+"
+
+
+def _fast_split(spec: dict) -> tuple[re.Pattern, bool] | None:
+    """The pattern, and whether texts are lower-cased first, by which texts without UNUSUAL characters are split in Python; None: only the library can."""
+    normalizer, splitter = spec["normalizer"], spec["pre_tokenizer"]
+    steps = splitter.get("pretokenizers", [splitter])
+    levels = [(x["type"], x.get("add_prefix_space"), x.get("use_regex")) for x in steps]
+    if normalizer is None and levels == [("ByteLevel", False, True)]:
+        return BYTE_LEVEL_PATTERN, False
+    if normalizer is None or len(steps) != 2 or levels[1] != ("ByteLevel", False, False):
+        return None
+    split = {"type": "Split", "pattern": {"Regex": _WORD_END_SPLIT}, "behavior": "Removed", "invert": True}
+    parts = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": _WHITE_RUN}, "content": " "}, {"type": "Lowercase"}]
+    return (WORD_END_PATTERN, True) if steps[0] == split and normalizer.get("normalizers") == parts else None
+
+
+def _refuse_unknown(spec: dict) -> None:
+    """Raises for a vocabulary file that means more than this module does: it would be encoded wrongly."""
+    model, splitter = spec["model"], spec["pre_tokenizer"] or {}
+    steps = splitter.get("pretokenizers", [splitter])
+    extra = [k for k in ("dropout", "unk_token", "continuing_subword_prefix", "fuse_unk", "byte_fallback", "ignore_merges") if model.get(k)]
+    flags = [t["content"] for t in spec["added_tokens"] if any(t.get(k) for k in ("single_word", "lstrip", "rstrip", "normalized"))]
+    if model["type"] != "BPE" or extra or flags or not any(x.get("type") == "ByteLevel" and not x.get("add_prefix_space") for x in steps):
+        raise ValueError(f"not a byte-level BPE vocabulary of the kind that can be encoded here: {model['type']} {extra} {flags}")
+
+
 class Encoder:
     """Ids of texts under a vocabulary file of the tokenizers library, in little-endian unsigned 32-bit integers.
 
-    With speculate, unseen words are encoded by Merges; without it, by the library, word by word.
+    With speculate, unseen words are encoded by Merges; without it, by the library, word by word. Any byte-level BPE vocabulary does; others are refused.
+    A line of words holds strings as they stand in the text, 1-tuples of what the library split and wrote in the byte alphabet, and special tokens' ids.
     """
 
     def __init__(self, source: str, speculate: bool = True):
@@ -218,6 +248,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         spec = json.loads(source)
+        _refuse_unknown(spec)
         self.library = Tokenizer.from_str(source)
         self.library.no_truncation()
         self.library.no_padding()
@@ -226,57 +257,57 @@ class Encoder:
         self.ranked = None if speculate else _ranked(spec)
         self.bytes = byte_alphabet()
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.at_special = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
-        self.lower = bool(spec["normalizer"])
-        self.pattern = WORD_END_PATTERN if self.suffix else BYTE_LEVEL_PATTERN
-        self.cache: dict[str, bytes] = {}
+        self.at_special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
+        self.pattern, self.lower = _fast_split(spec) or (None, False)
+        self.cache: dict[str | tuple[str] | int, bytes] = {}
         self.names = {i: t for t, i in spec["model"]["vocab"].items()} | {i: t for t, i in self.special.items()}
         self.decoder = self.library.decoder
 
-    def split(self, text: str) -> tuple[list[str], bool]:
-        """The words of a text without special tokens; True if they are in the byte alphabet already."""
-        if UNUSUAL.search(text) is None:
-            return self.pattern.findall(text.lower() if self.lower else text), False
+    def split(self, text: str) -> list[str] | list[tuple[str]]:
+        """The words of a text without special tokens."""
+        if self.pattern is not None and UNUSUAL.search(text) is None:
+            return self.pattern.findall(text.lower() if self.lower else text)
         if self.library.normalizer is not None:
             text = self.library.normalizer.normalize_str(text)
-        return [w for w, _ in self.library.pre_tokenizer.pre_tokenize_str(text)], True
+        return [(w,) for w, _ in self.library.pre_tokenizer.pre_tokenize_str(text)]
+
+    def write(self, word: str | tuple[str]) -> str:
+        """A word in the byte alphabet."""
+        if isinstance(word, tuple):
+            return word[0]
+        return word if word.isascii() and word.isalnum() else "".join([self.bytes[b] for b in word.encode()])
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        lines: list[list[str]] = []
+        lines: list[list] = []
         for text in texts:
-            parts = self.at_special.split(text) if self.at_special and "<|" in text else [text]
-            line: list[str] = []
-            for part in parts:
+            if not any(x in text for x in self.special):
+                lines.append(self.split(text))
+                continue
+            line: list = []
+            for part in self.at_special.split(text):
                 if part in self.special:
-                    line.append(_GAP + part)
+                    line.append(self.special[part])
                 elif part:
-                    found, written = self.split(part)
-                    line += [_END + w for w in found] if written else found
+                    line += self.split(part)
             lines.append(line)
         cache = self.cache
         new = {w for line in lines for w in line if w not in cache} if len(lines) < 4 else set().union(*lines).difference(cache)
         if len(cache) + len(new) > CACHE:
             cache.clear()
             new = set().union(*lines)
-        todo = []
-        for w in new:
-            if w[0] == _GAP and w[1:] in self.special:
-                cache[w] = np.uint32(self.special[w[1:]]).tobytes()
-            else:
-                todo.append(w)
-        if todo and self.merges is None:
-            known = {w for w in todo if w[0] != _END and _GAP not in w}
+        for w in [w for w in new if isinstance(w, int)]:
+            cache[w] = np.uint32(w).tobytes()
+        todo = [w for w in new if not isinstance(w, int)]
+        if self.merges is not None:
+            if todo:
+                cache.update(zip(todo, self.merges.encode([self.write(w) for w in todo]), strict=True))
+        else:
+            model, raw = self.library.model, [w for w in todo if isinstance(w, str)]
             if self.ranked is not None:
-                cache.update((w, array("I", self.ranked(w.encode())).tobytes()) for w in known)
-            found = self.library.encode_batch_fast([w for w in known if w not in cache], add_special_tokens=False)
-            cache.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip([w for w in known if w not in cache], found, strict=True))
-            for w in set(todo) - known:  # cut by the library, already written in the byte alphabet
-                model = self.library.model
-                cache[w] = np.array([t.id for t in model.tokenize(w[1:] if w[0] == _END and len(w) > 1 else "".join([self.bytes[b] for b in w.encode()]))], "<u4").tobytes()
-        elif todo:
-            alphabet = self.bytes
-            written = [w[1:] if w[0] == _END and len(w) > 1 else "".join([alphabet[b] for b in w.encode()]) if not (w.isascii() and w.isalnum()) else w for w in todo]
-            cache.update(zip(todo, self.merges.encode(written), strict=True))
+                cache.update((w, array("I", self.ranked(w.encode())).tobytes()) for w in raw)
+            for w in todo:
+                if w not in cache:
+                    cache[w] = np.array([t.id for t in model.tokenize(self.write(w))], "<u4").tobytes()
         return [b"".join(map(cache.__getitem__, line)) for line in lines]
 
     def decode(self, ids: bytes) -> str:
