@@ -23,15 +23,17 @@ from .common import cut, slices, small_batches
 
 @dataclass(frozen=True)
 class Capacity:
-    """What a sequence holds at most; documents and attention cost (the sum of squared lengths) are unlimited if None.
+    """What a sequence holds at most; documents and attention cost (the sum of squared lengths) are unlimited, and without weight, if None.
+
+    By default all three bind: a sequence's documents and its attention cost may be what one of `tokens` tokens can reach, so that fewest sequences are needed.
 
     score "norm" picks the bin with the least weighted norm of what is left after placing, "dot" the one whose remaining capacity has the largest weighted dot
     product with the demand, after which fuller bins win. The weights are by demand: how much of all bins' capacity the pieces use.
     """
 
     tokens: int = 2048
-    documents: int | None = None
-    attention: int | None = None
+    documents: int | None = 2048
+    attention: int | None = 2048**2
     score: str = "norm"
 
 

@@ -16,7 +16,6 @@ from strandlake.llm.html_extract import extract, html_extract
 from strandlake.llm.language_id import Scorer, fit, keep_identified, language_id, learn
 from strandlake.llm.license_scan import license_scan
 from strandlake.llm.ngram_jaccard import Paths, ngram_jaccard_join
-from strandlake.llm.packing import Capacity, best_fit_pack, cut_pieces, vector_best_fit
 from strandlake.llm.quality_classifier import quality_classifier
 from strandlake.llm.quality_rules import quality_rules
 from strandlake.llm.suffix_dedup import suffix_dedup
@@ -66,40 +65,6 @@ def test_bpe(spark, name):
     assert [got[i]["decoded"] for i in range(len(texts))] == [library.decode(w.ids, skip_special_tokens=False) for w in want]
 
 
-def test_packing(spark):
-    path = public_tokenizers.path("byte_bpe_50k.json")
-    rows = best_fit_pack(cut_pieces(frame(spark, [*MIXED, PROSE * 400]), path)).collect()
-    library = Tokenizer.from_file(path)
-    bins = defaultdict(list)
-    docs = defaultdict(list)
-    for r in rows:
-        bins[r["sequence_id"]].append((r["offset"], r["length"]))
-        docs[r["doc_id"]].append((r["piece"], r["start"], r["length"]))
-    for b in bins.values():
-        at = 0
-        for offset, length in sorted(b):
-            assert offset == at
-            at += length
-        assert at <= 2048
-    for i, t in enumerate([*MIXED, PROSE * 400]):
-        n = len(library.encode(t or "", add_special_tokens=False).ids) + 1
-        assert sum(x[2] for x in docs[i]) == n and all(x[2] == 2048 for x in sorted(docs[i])[1:])
-
-
-@pytest.mark.parametrize("capacity", [Capacity(), Capacity(documents=4), Capacity(attention=2048**2, score="dot")])
-def test_best_fit(capacity):
-    lengths = np.random.default_rng(2).integers(1, 2049, 3000)
-    u, c = np.unique(lengths, return_counts=True)
-    runs, n = vector_best_fit(u, c, capacity)
-    load = defaultdict(list)
-    for length, lo, hi, first, q, offset in runs.tolist():
-        for r in range(hi - lo):
-            load[first + r // q].append(length)
-    assert sorted(x for b in load.values() for x in b) == sorted(lengths.tolist())
-    assert len(load) == n and all(sum(b) <= 2048 and len(b) <= (capacity.documents or 2048) for b in load.values())
-    assert not capacity.attention or all(sum(x * x for x in b) <= capacity.attention for b in load.values())
-
-
 def test_language(spark):
     texts = [None, "123 !!", *["the house and the garden"] * 30, *["das haus und der garten"] * 30]
     rows = [(i, t, "de" if t and "das" in t else "en") for i, t in enumerate(texts)]
