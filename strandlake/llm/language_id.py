@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructType
 
-from .common import release, resident, small_batches
+from .common import broadcast_if_small, release, resident, small_batches
 
 LETTERS = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
@@ -136,24 +136,33 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", min
     return model
 
 
+_WHOLE = 1 << 62
+
+
+def shares(sizes: dict[str, int], most: int) -> dict[str, int]:
+    """Which of each language's rows to take, in parts of _WHOLE, so that they are `most` in all: as many of each, and all of a language that has fewer."""
+    rates, left = {}, most
+    for i, (n, lang) in enumerate(sorted((n, lang) for lang, n in sizes.items())):
+        share = min(n, left // (len(sizes) - i))
+        rates[lang] = _WHOLE * share // n
+        left -= share
+    return rates
+
+
 def stratified_sample(rows: DataFrame, lang_col: str, by: list[str], most: int) -> DataFrame:
     """About `most` of the rows, chosen by a hash of the columns `by`: as many of each language, and all rows of a language that has fewer."""
-    sizes = sorted((n, lang) for lang, n in rows.groupBy(lang_col).count().collect())
-    rates, left = [], most
-    for i, (n, lang) in enumerate(sizes):
-        share = min(n, left / (len(sizes) - i))
-        rates.append((lang, int(1_000_000 * share / n)))
-        left -= share
-    if all(rate == 1_000_000 for _, rate in rates):
+    rates = shares({lang: n for lang, n in rows.groupBy(lang_col).count().collect()}, most)
+    if all(rate == _WHOLE for rate in rates.values()):
         return rows
-    below = F.broadcast(rows.sparkSession.createDataFrame(rates, f"{lang_col} string, _rate int"))
-    return rows.join(below, lang_col).where(F.pmod(F.xxhash64(F.lit(7), *by), F.lit(1_000_000)) < F.col("_rate")).select(*rows.columns)
+    below = broadcast_if_small(rows.sparkSession.createDataFrame(list(rates.items()), f"{lang_col} string, _rate long"), len(rates))
+    return rows.join(below, lang_col).where(F.pmod(F.xxhash64(F.lit(7), *by), F.lit(_WHOLE)) < F.col("_rate")).select(*rows.columns)
 
 
 def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:
     """docs with lang_pred (a learned language, or `und` if the text is null or has no letter) and score (0 to 1; 0 for `und`).
 
-    Every whole text is read; only the text is an input of the prediction. Columns of docs pass through; those named lang_pred or score are replaced.
+    Every whole text is read; only the text is an input of the prediction. A long text is scored 50,000 words at a time, so its words are held once. Columns
+    of docs pass through; those named lang_pred or score are replaced.
     """
     shipped = small_batches(docs.sparkSession).sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
