@@ -38,20 +38,32 @@ def small_batches(spark: SparkSession) -> SparkSession:
 
 def cut(df: DataFrame) -> DataFrame:
     """Cuts the lineage with a reliable checkpoint in the folder that spark.checkpoint.dir names."""
-    _shared_folder(df.sparkSession)
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
-def _shared_folder(spark: SparkSession) -> str:
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="strandlake-"))
-    return sc.getCheckpointDir()
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names. Where it is unset, a temporary one if driver and executors are one process; on a cluster that is an error."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named or spark.sparkContext.getCheckpointDir() is None:
+        if not named and not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        folder = named or tempfile.mkdtemp(prefix="strandlake-")
+        if spark.sparkContext.getCheckpointDir() is None:
+            spark.sparkContext.setCheckpointDir(folder)
+    return spark.sparkContext.getCheckpointDir()
+
+
+def drop_folder(spark: SparkSession, path: str) -> None:
+    """Deletes a folder that this session wrote, on whatever file system it lies."""
+    jvm = spark.sparkContext._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def store(df: DataFrame) -> DataFrame:
     """Cuts the lineage with a Parquet table beside the checkpoints: smaller than a checkpoint where rows are many. The session's end leaves it to the folder's owner."""
-    path = f"{_shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -62,6 +74,39 @@ def broadcast_if_small(df: DataFrame, rows: int, row_bytes: int = 64) -> DataFra
     return F.broadcast(df) if small else df
 
 
+#: Rows of one key from which a join deals them by itself.
+HOT_ROWS = 1000
+
+
+def skew_join(rows: DataFrame, by_key: DataFrame, key: str, how: str = "inner", by_key_rows: int | None = None, hot_rows: int = HOT_ROWS, most_broadcast: int = BROADCAST_ROWS, salts: int = 64, hot: DataFrame | None = None) -> DataFrame:
+    """rows joined (inner or left) with by_key, which has a row for each key at most, so that no task gets all rows of a key that has many.
+
+    If by_key is known to have few rows (by_key_rows, at about 64 bytes each), it is broadcast. Else keys are counted first, summed before the shuffle (if `hot`,
+    the table of keys with more than hot_rows rows, isn't given). Rows of hot keys don't move: their rows of by_key are broadcast; if there are too many to broadcast, rows of hot
+    keys are dealt by key and one of `salts` numbers, and their rows of by_key are repeated for each number. Other rows are joined by key.
+    """
+    if by_key_rows is not None and by_key_rows <= most_broadcast:
+        return rows.join(broadcast_if_small(by_key, by_key_rows), key, how)
+    if hot is None:
+        hot = rows.groupBy(key).agg(F.count(F.lit(1)).alias("__sl_n")).where((F.col("__sl_n") > hot_rows) & F.col(key).isNotNull()).select(key)
+    hot = cut(hot)
+    n = hot.count()
+    if not n:
+        return rows.join(by_key, key, how)
+    if n <= most_broadcast:
+        few, theirs = F.broadcast(hot), F.broadcast(by_key.join(F.broadcast(hot), key, "left_semi"))
+        moved = rows.join(few, key, "left_semi").join(theirs, key, how)
+    else:
+        few = hot.withColumn("__sl_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        salted = rows.withColumn("__sl_salt", F.pmod(F.xxhash64(F.lit(1), *[F.col(c) for c in rows.columns if c != key]), F.lit(salts)).cast("int"))
+        theirs = by_key.join(few, key)
+        flagged = salted.join(few.withColumn("__sl_hot", F.lit(True)), [key, "__sl_salt"], "left")
+        moved = flagged.where("__sl_hot").drop("__sl_hot").join(theirs, [key, "__sl_salt"], how).drop("__sl_salt")
+        calm = flagged.where("__sl_hot is null").drop("__sl_hot", "__sl_salt").join(by_key, key, how)
+        return calm.unionByName(moved)
+    return rows.join(few, key, "left_anti").join(by_key, key, how).unionByName(moved)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

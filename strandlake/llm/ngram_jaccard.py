@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Hashes, U, broadcast_if_small, cut, mix, release, shingles, shuffle_partitions, slices, small_batches, utf8, words
+from .common import HOT_ROWS, Hashes, U, broadcast_if_small, cut, mix, release, shingles, shuffle_partitions, skew_join, slices, small_batches, utf8, words
 from .components import components
 
 
@@ -33,7 +33,7 @@ class Paths:
     threshold: float = 0.8
     words: int = 5
     recall: float = 1 - 1e-7
-    bucket: int = 2000
+    bucket: int = 1000
     depth: int = 3
     sketch: int = 128
     slack: float = 0.18
@@ -203,7 +203,7 @@ def _links(table: pa.Table, lo: int, hi: int, paths: Paths) -> tuple[np.ndarray,
     return linked @ members, spanning(m, lambda i, rest: linked[i, rest])
 
 
-def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", paths: Paths = Paths()) -> DataFrame:
+def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", paths: Paths = Paths(), hot_rows: int = HOT_ROWS) -> DataFrame:
     """One row per input row: <id_col>, class_id, group_id, n_links, n_shingles, kept.
 
     A shingle is `words` successive words ([^\\x20\\x09-\\x0D]+) of a text; a shorter text has one shingle of all its words. class_id is the smallest id
@@ -246,8 +246,8 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     ended = []
     for level in range(paths.depth):
         key = f"k{level}"
-        here = path.groupBy(key).agg(F.count(F.lit(1)).alias("sets")).where("sets > 1")
-        path = cut(path.join(here, key))
+        here = cut(path.groupBy(key).agg(F.count(F.lit(1)).alias("sets")).where("sets > 1"))
+        path = cut(skew_join(path, here, key, hot=here.where(F.col("sets") > hot_rows).select(key)))
         last = level == paths.depth - 1
         blocks = F.ceil(F.col("sets") / paths.bucket) if last else F.lit(1)
         done = (path if last else path.where(F.col("sets") <= paths.bucket)).select(F.col(key).alias("bucket"), "digest", blocks.cast("int").alias("blocks"))
@@ -263,7 +263,7 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     edges = bucketed.repartition(parts, "bucket").sortWithinPartitions("bucket", "digest").mapInArrow(_bucket_edges(paths), "a long, b long")
     cluster = components(edges)
     sizes = cluster.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / paths.block).cast("int").alias("blocks"))
-    wanted = cut(cluster.join(sizes, "root").join(classes.select(F.col("digest").alias("node"), "n", "members", F.col("rep.id").alias("_id"), F.col("rep.key").alias("_key")), "node"))
+    wanted = cut(skew_join(cluster, sizes, "root", by_key_rows=cluster.count(), hot_rows=hot_rows).join(classes.select(F.col("digest").alias("node"), "n", "members", F.col("rep.id").alias("_id"), F.col("rep.key").alias("_key")), "node"))
     # a representative's text is found by its id and hash; of copies without an id, one row goes on
     names, held = broadcast_if_small(wanted, wanted.count()), ["_text", "node", "root", "blocks", "n", "members"]
     whole = rows.join(names, ["_id", "_key"]).select(*held)
@@ -304,10 +304,10 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     verified = cut(paired.repartition(parts, "root", "pair").sortWithinPartitions("root", "pair", "digest").mapInArrow(verify, "a long, b long, links long"))
     links = verified.groupBy(F.col("a").alias("digest")).agg(F.sum("links").alias("links"))
     linked = components(verified.where("a != b")).withColumnRenamed("node", "digest")
-    about = classes.select("digest", "rep", "members").join(links, "digest", "left").join(linked, "digest", "left").withColumn("root", F.coalesce("root", "digest"))
-    heads = about.groupBy("root").agg(F.min("rep").alias("head"))
-    about = about.join(heads, "root").select("digest", "rep", "members", "links", "head")
-    out = signed.select("_id", "_row", "n", "digest").join(about, "digest", "left")
+    about = cut(classes.select("digest", "rep", "members").join(links, "digest", "left").join(linked, "digest", "left"))
+    heads = about.where("root is not null").groupBy("root").agg(F.min("rep").alias("head"))
+    about = skew_join(about, heads, "root", "left", hot_rows=hot_rows).select("digest", "rep", "members", "links", F.coalesce("head", "rep").alias("head"))
+    out = skew_join(signed.select("_id", "_row", "n", "digest"), about, "digest", "left", hot_rows=hot_rows)
     alone = F.col("rep").isNull()
     return out.select(
         F.col("_id").alias(id_col),
