@@ -244,3 +244,38 @@ def shingles(word_hash: np.ndarray, woff: np.ndarray, k: int = 5) -> tuple[np.nd
         there = at + j < last
         h = mix(h * U(0xFF51AFD7ED558CCD) + np.where(there, padded[np.minimum(at + j, n)], U(0x632BE59BD9B4E019)))
     return h, soff
+
+
+def grouped(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[pa.Table]:
+    """Tables of whole groups, from batches sorted by their first n_keys columns; a group may span batches."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(n_keys)]
+        change = np.zeros(batch.num_rows, bool)
+        for k in keys:
+            change[1:] |= k[1:] != k[:-1]
+        last = int(np.flatnonzero(change)[-1]) if change.any() else 0
+        if held:
+            same = all(held[-1].column(i)[-1].as_py() == keys[i][0] for i in range(n_keys))
+            cut_at = int(np.flatnonzero(change)[0]) if change.any() else batch.num_rows
+            if not same:
+                yield pa.Table.from_batches(held)
+                held = []
+            elif last:
+                yield pa.Table.from_batches([*held, batch.slice(0, cut_at)])
+                held, batch, last = [], batch.slice(cut_at), last - cut_at
+        if last:
+            yield pa.Table.from_batches([batch.slice(0, last)])
+            batch = batch.slice(last)
+        held.append(batch)
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def bounds(*keys: np.ndarray) -> np.ndarray:
+    change = np.zeros(len(keys[0]), bool)
+    for k in keys:
+        change[1:] |= k[1:] != k[:-1]
+    return np.concatenate([[0], np.flatnonzero(change), [len(change)]]).astype(np.int64) if len(change) else np.zeros(1, np.int64)

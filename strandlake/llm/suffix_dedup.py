@@ -14,14 +14,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Hashes, U, broadcast_if_small, mix, release, shuffle_partitions, slices, small_batches, store, utf8
+from .common import Hashes, U, bounds, broadcast_if_small, grouped, mix, release, shuffle_partitions, slices, small_batches, store, utf8
 
 LENGTH, GRAM = 100, 20
-#: Differing surroundings of one gram in one place from which each string of them becomes a group of its own, spread by its hash.
-HOT = 20_000
+#: Differing surroundings of one gram from which each string of them becomes a group of its own, spread by its hash.
+HOT = 1000
+#: Bytes of text for each group of samples that a task holds at once; there are as many groups as the input needs.
+GROUP_BYTES = 48 << 20
 _POS = U((1 << 24) - 1)
 
 
@@ -176,15 +179,16 @@ def _span_batch(doc: np.ndarray, start: np.ndarray, stop: np.ndarray, what: np.n
     return pa.record_batch([pa.array(doc.astype(np.int64)), pa.array(start.astype(np.int64)), pa.array(stop.astype(np.int64)), pa.array(what.astype(np.int32))], ["doc", "start", "stop", "what"])
 
 
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
+def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, hot: int = HOT, group_bytes: int = GROUP_BYTES) -> DataFrame:
     """For each text that has any its spans (doc, spans), in UTF-8 bytes and apart, that strings of `length` bytes found earlier cover. Ids must be integers.
 
     Earlier: a smaller id, or the same text and an earlier start. Null counts as empty. Rows of one id count as one text each; of such rows
-    equal positions tie, and none is the earlier.
+    equal positions tie, and none is the earlier. Samples are dealt into groups by their gram, as many as the input's bytes need; a task holds one group at a time.
     """
     spark = small_batches(docs.sparkSession)
     parts = shuffle_partitions(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("_text"))
+    groups = max(parts, -(-int(rows.agg(F.sum(F.octet_length("_text"))).first()[0] or 0) // group_bytes))
     reach = length - gram
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,15 +204,14 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             same[1:] = (found["gram"][1:] == found["gram"][:-1]) & (found["around"][1:] == found["around"][:-1])
             same[1:] &= (found["id"][1:] != found["id"][:-1]) | (found["at"][1:] != found["at"][:-1])
             settled, found = found[same], found[~same]
-            bucket = (mix(found["gram"]) % U(parts)).astype(np.int64)
+            bucket = (mix(found["gram"]) % U(groups)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
             found, bucket = found[order], bucket[order]
-            at = np.searchsorted(bucket, np.arange(parts + 1))
-            full = np.flatnonzero(np.diff(at))
-            blobs = [pack(found[at[b] : at[b + 1]]) for b in full.tolist()]
+            at = bounds(bucket)
+            blobs = [pack(found[a:b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
             early = [pack(settled[i : i + 100_000]) for i in range(0, len(settled), 100_000)]
-            spread = [(b + 1) % parts for b in range(len(early))]
-            columns = [pa.array([*full.tolist(), *spread], pa.int32()), pa.array([False] * len(blobs) + [True] * len(early)), pa.array(blobs + early, pa.binary())]
+            spread = [int(x["id"][0]) % groups for x in (settled[i : i + 1] for i in range(0, len(settled), 100_000))]
+            columns = [pa.array([*bucket[at[:-1]].tolist(), *spread], pa.int64()), pa.array([False] * len(blobs) + [True] * len(early)), pa.array(blobs + early, pa.binary())]
             yield pa.record_batch(columns, ["bucket", "settled", "records"])
 
         for batch in batches:
@@ -225,23 +228,25 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         if held:
             yield from flush()
 
-    packets = rows.where("doc is not null").mapInArrow(sample, "bucket int, settled boolean, records binary")
+    packets = rows.where("doc is not null").mapInArrow(sample, "bucket long, settled boolean, records binary")
 
     def spans_of(found: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         start = found["at"].astype(np.int64) - found["before"]
         return found["id"], start, start + found["span"].astype(np.int64) + length
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[np.ndarray]] = {}
-        for batch in batches:
-            for bucket, settled, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+        for packet in grouped(batches, 1):
+            held: list[np.ndarray] = []
+            for settled, blob in zip(packet.column(1).to_pylist(), (x for chunk in packet.column(2).chunks for x in chunk), strict=True):
                 if settled:
                     doc, start, stop = spans_of(unpack(blob))
                     yield _span_batch(doc, start, stop, np.full(len(doc), _SETTLED))
                 else:
-                    held.setdefault(bucket, []).append(unpack(blob))
-        for bucket in list(held):
-            found = np.concatenate(held.pop(bucket))
+                    held.append(unpack(blob))
+            if not held:
+                continue
+            found = np.concatenate(held)
+            del packet, held
             found = found[np.argsort(found["gram"], kind="stable")]
             alone = np.ones(len(found), bool)
             same = found["gram"][1:] == found["gram"][:-1]
@@ -267,7 +272,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             wanted = what[out] != _SETTLED
             yield _span_batch(doc, np.where(wanted, start | gap << 8, start), stop, what[out])
 
-    first = store(packets.repartition(parts, "bucket").mapInArrow(settle, _SPANS))
+    first = store(packets.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(settle, _SPANS))
     wanted = first.where(F.col("what") != _SETTLED)
     asked = store(wanted.groupBy("doc").agg(F.collect_list(F.struct("start", "stop", "what")).alias("asked")))
     packed = rows.where("doc is not null").mapInArrow(_packed, "doc long, size long, packed binary")
@@ -300,9 +305,10 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 rows_[:, :reach] = np.where(left <= before[s][:, None], data[np.maximum(a - left, 0)], 0)
                 rows_[:, reach:] = np.where(right < size[:, None], data[np.minimum(a + right, len(data) - 1)], 0)
                 grams = Hashes(rows_.ravel()).of(np.arange(len(rows_)) * wide + reach, np.arange(len(rows_)) * wide + reach + gram)
-                # strings of hot grams become samples of one offset each, grouped by their own hash
                 hot_ = what[s] == _WANTED_HOT
                 out = [(grams[~hot_], ids[s][~hot_], at[s][~hot_], (before - span)[s][~hot_], before[s][~hot_], rows_[~hot_])]
+                # strings of hot grams become samples of one offset each, grouped by their own hash; of equal ones here only the earliest goes on, the others are settled
+                least, most = np.full(len(hot_), -1), np.full(len(hot_), -1)
                 for offset in range(reach + 1) if hot_.any() else ():
                     k = np.flatnonzero(hot_ & ((before - span)[s] <= offset) & (offset <= before[s]))
                     if len(k):
@@ -310,41 +316,53 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                         own[:, offset:reach] = 0
                         own[:, reach + length - offset :] = 0
                         h = Hashes(own.ravel()).of(np.arange(len(k)) * wide, np.arange(len(k)) * wide + wide) + U(offset)
+                        order = np.lexsort((at[s][k], ids[s][k], h))
+                        k, own, h = k[order], own[order], h[order]
+                        again = np.zeros(len(k), bool)
+                        again[1:] = (h[1:] == h[:-1]) & (own[1:] == own[:-1]).all(1) & ((ids[s][k][1:] != ids[s][k][:-1]) | (at[s][k][1:] != at[s][k][:-1]))
+                        hit = k[again]
+                        least[hit], most[hit] = np.where(least[hit] < 0, offset, least[hit]), offset
+                        k, own, h = k[~again], own[~again], h[~again]
                         out.append((h, ids[s][k], at[s][k], np.full(len(k), offset), np.full(len(k), offset), own))
-                for g, doc, pos, low, high, own in out:
-                    if len(g):
-                        bucket = (mix(g) % U(parts)).astype(np.int32)
-                        blob = pa.FixedSizeBinaryArray.from_buffers(pa.binary(wide), len(g), [None, pa.py_buffer(np.ascontiguousarray(own))]).cast(pa.binary())
-                        columns = [pa.array(bucket), pa.array(g.astype(np.int64)), pa.array(doc), pa.array(pos), *(pa.array(x.astype(np.int32)) for x in (low, high)), blob]
-                        yield pa.record_batch(columns, ["bucket", "gram", "doc", "at", "low", "high", "bytes"])
+                hit = np.flatnonzero(most >= 0)
+                out.append((grams[hit], ids[s][hit], at[s][hit], least[hit], most[hit], None))
+                for found in out:
+                    if len(found[0]):
+                        yield travelling(*found)
 
-    fetched = whole.select("doc", "size", "packed", "asked").mapInArrow(fetch, "bucket int, gram long, doc long, at long, low int, high int, bytes binary")
+    def travelling(g: np.ndarray, doc: np.ndarray, pos: np.ndarray, low: np.ndarray, high: np.ndarray, own: np.ndarray | None) -> pa.RecordBatch:
+        """Samples on the way to their group; without bytes, those whose strings from offset low to high are settled."""
+        bucket = (mix(g if own is not None else doc.astype(U)) % U(groups)).astype(np.int64)
+        blob = pa.nulls(len(g), pa.binary()) if own is None else pa.FixedSizeBinaryArray.from_buffers(pa.binary(wide), len(g), [None, pa.py_buffer(np.ascontiguousarray(own))]).cast(pa.binary())
+        columns = [pa.array(bucket), pa.array(g.astype(np.int64)), pa.array(doc), pa.array(pos), *(pa.array(x.astype(np.int32)) for x in (low, high)), blob]
+        return pa.record_batch(columns, ["bucket", "gram", "doc", "at", "low", "high", "bytes"])
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [pa.table(b) for b in map(lambda x: pa.Table.from_batches([x]), batches)]
-        if not held:
-            return
-        table = pa.concat_tables(held)
-        gram_, doc, at, low, high = (table.column(i).to_numpy() for i in range(1, 6))
-        order = np.lexsort((at, doc, gram_))
-        matrix = np.frombuffer(b"".join(table.column(6).to_pylist()), np.uint8).reshape(-1, wide)
-        del table, held
-        edge = np.flatnonzero(np.diff(gram_[order])) + 1
-        at_once = 60_000
-        cuts = [0]
-        for e in [*edge.tolist(), len(order)]:
-            if e - cuts[-1] > at_once or e == len(order):
-                cuts.append(e)
-        for lo, hi in zip(cuts, cuts[1:], strict=False):
-            own = order[lo:hi]
-            if not len(own):
-                continue
-            group = np.cumsum(np.diff(gram_[own], prepend=gram_[own][:1]) != 0)
-            least, most = repeated_offsets(group, matrix[own, :reach], matrix[own, reach:], low[own].astype(np.int64), high[own].astype(np.int64), length)
-            hit = most >= 0
-            yield _span_batch(doc[own][hit], (at[own] - most)[hit], (at[own] - least)[hit] + length, np.full(int(hit.sum()), _SETTLED))
+    fetched = whole.select("doc", "size", "packed", "asked").mapInArrow(fetch, "bucket long, gram long, doc long, at long, low int, high int, bytes binary")
 
-    compared = fetched.repartition(parts, "bucket").mapInArrow(compare, _SPANS)
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in grouped(batches, 1):
+            done = pc.is_null(table.column("bytes"))
+            if pc.any(done).as_py():
+                settled = table.filter(done)
+                doc, at, low, high = (settled.column(i).to_numpy() for i in range(2, 6))
+                yield _span_batch(doc, at - high, at - low + length, np.full(len(doc), _SETTLED))
+                table = table.filter(pc.invert(done))
+            gram_, doc, at, low, high = (table.column(i).to_numpy() for i in range(1, 6))
+            order = np.lexsort((at, doc, gram_))
+            edge = bounds(gram_[order])
+            cuts = [0]  # whole grams, some 60,000 samples at once
+            for e in edge[1:].tolist():
+                if e - cuts[-1] > 60_000 or e == len(order):
+                    cuts.append(e)
+            for lo, hi in zip(cuts, cuts[1:], strict=False):
+                own = order[lo:hi]
+                matrix = np.frombuffer(b"".join(table.column(6).take(pa.array(own)).to_pylist()), np.uint8).reshape(-1, wide)
+                group = np.cumsum(np.diff(gram_[own], prepend=gram_[own][:1]) != 0)
+                least, most = repeated_offsets(group, matrix[:, :reach], matrix[:, reach:], low[own].astype(np.int64), high[own].astype(np.int64), length)
+                hit = most >= 0
+                yield _span_batch(doc[own][hit], (at[own] - most)[hit], (at[own] - least)[hit] + length, np.full(int(hit.sum()), _SETTLED))
+
+    compared = fetched.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(compare, _SPANS)
     spans = first.where(F.col("what") == _SETTLED).unionByName(compared)
     by_doc = spans.groupBy("doc").agg(F.collect_list("start").alias("start"), F.collect_list("stop").alias("stop"))
     return by_doc.mapInArrow(_merged, "doc long, spans array<struct<start: long, stop: long>>")

@@ -13,12 +13,10 @@ from tokenizers import Tokenizer
 from strandlake.llm.bpe import Encoder, bpe_decode, bpe_encode, vocabulary
 from strandlake.llm.exact_dedup import exact_dedup
 from strandlake.llm.html_extract import extract, html_extract
-from strandlake.llm.language_id import Scorer, fit, keep_identified, language_id, learn
+from strandlake.llm.language_id import Scorer, fit, learn
 from strandlake.llm.license_scan import license_scan
-from strandlake.llm.ngram_jaccard import Paths, ngram_jaccard_join
 from strandlake.llm.quality_classifier import quality_classifier
 from strandlake.llm.quality_rules import quality_rules
-from strandlake.llm.suffix_dedup import suffix_dedup
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, _id long, kept boolean, digest string, ids string, score double, _text string"
 PROSE = "The river runs past the old mill, and nobody in the village remembers who built it or why. "
@@ -65,17 +63,6 @@ def test_bpe(spark, name):
     assert [got[i]["decoded"] for i in range(len(texts))] == [library.decode(w.ids, skip_special_tokens=False) for w in want]
 
 
-def test_language(spark):
-    texts = [None, "123 !!", *["the house and the garden"] * 30, *["das haus und der garten"] * 30]
-    rows = [(i, t, "de" if t and "das" in t else "en") for i, t in enumerate(texts)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
-    got = {r["doc_id"]: r for r in language_id(docs).collect()}
-    assert got[0]["lang_pred"] == got[1]["lang_pred"] == "und" and got[0]["score"] == 0
-    assert all(got[i]["lang_pred"] == rows[i][2] for i in range(2, len(rows)))
-    assert keep_identified(docs).count() == len(rows) - 2
-    assert {r["lang_pred"] for r in language_id(docs.where("false")).collect()} == set()
-
-
 def test_language_learns_rare_languages_and_all_words(spark):
     rng = np.random.default_rng(8)
     common = sorted({"".join(map(chr, x)) for x in rng.integers(97, 123, (30_000, 5))})
@@ -93,58 +80,6 @@ def test_language_of_words_seen_once(spark):
     assert fit(docs.where("false")).langs == []
 
 
-def test_suffix(spark):
-    base = "".join(chr(97 + x % 26) for x in np.random.default_rng(3).integers(0, 1000, 700).tolist())
-    texts = [base, "zz" + base[100:400] + "yy" + base[350:600], None, "", base[:99], base[:100], "ab" * 300, "é" * 400, base, base[200:300] * 2]
-    got = {r["doc_id"]: r for r in suffix_dedup(frame(spark, texts)).collect()}
-    seen = set()
-    for i, t in enumerate(texts):
-        b = (t or "").encode()
-        gone = bytearray(len(b))
-        for k in range(len(b) - 99):
-            if b[k : k + 100] in seen:
-                gone[k : k + 100] = b"\1" * 100
-            seen.add(b[k : k + 100])
-        kept = bytes(c for c, g in zip(b, gone, strict=True) if not g)
-        assert (got[i]["n_bytes"], got[i]["n_removed"], got[i]["kept_sha256"]) == (len(b), sum(gone), hashlib.sha256(kept).hexdigest())
-        assert got[i]["text"] == kept.decode("utf-8", "ignore")
-
-
-def test_suffix_hot_samples(spark):
-    from strandlake.llm.suffix_dedup import repeated_spans
-
-    line = PROSE * 2
-    texts = [f"{i * 7919:050d}" + line + f"{i * 104729:050d}" for i in range(40)]
-    usual, hot = ({r["doc"]: [tuple(s) for s in r["spans"]] for r in repeated_spans(frame(spark, texts), hot=n).collect()} for n in (10**6, 1))
-    assert usual == hot and len(usual) == 39
-
-
-def test_jaccard(spark):
-    rng = np.random.default_rng(4)
-    base = [" ".join(f"w{x}" for x in rng.integers(0, 5000, 120)) for _ in range(6)]
-    texts = [None, "", "one", "one", "one two", *base]
-    for b in base:
-        for k in (1, 2, 4, 8):
-            w = b.split()
-            for j in rng.choice(len(w), k, replace=False):
-                w[j] = "edit"
-            texts.append(" ".join(w))
-    sets = [frozenset(zip(*[words(t)[j:] for j in range(5)], strict=False)) if len(words(t)) >= 5 else frozenset([tuple(words(t))]) if words(t) else frozenset() for t in texts]
-    want = [sum(1 for j, y in enumerate(sets) if j != i and x and 5 * len(x & y) >= 4 * len(x | y)) for i, x in enumerate(sets)]
-    for paths in (Paths(), Paths(bucket=2, block=2)):
-        got = {r["doc_id"]: r for r in ngram_jaccard_join(frame(spark, texts), paths=paths).collect()}
-        assert [got[i]["n_links"] for i in range(len(texts))] == want
-
-
-def test_jaccard_of_null_ids(spark):
-    rng = np.random.default_rng(6)
-    a, b, c = (" ".join(f"w{x}" for x in rng.integers(0, 5000, 120)) for _ in range(3))
-    texts = [a, a + " more", b, b + " more", *[c] * 30, c + " more"]
-    got = ngram_jaccard_join(frame(spark, texts, [None, None, 1, *[None] * 32])).collect()
-    assert sorted((r["doc_id"] is None, r["n_shingles"], r["n_links"]) for r in got) == sorted([(True, 116, 1), (True, 117, 1), (False, 116, 1), (True, 117, 1), *[(True, 116, 30)] * 30, (True, 117, 30)])
-    assert sum(r["kept"] for r in got) == 3
-
-
 def test_components_of_unsteady_edges(spark):
     from strandlake.llm.components import components
 
