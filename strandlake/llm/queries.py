@@ -11,7 +11,7 @@ from .bpe import bpe_decode, bpe_encode
 from .exact_dedup import exact_dedup
 from .html_extract import html_extract
 from .language_id import language_id
-from .license_scan import HINT, MIN_COSINE, TEMPLATES, TERM, license_scan, template_weights, weight_rows
+from .license_scan import GAP, LICENCE_FILE, MIN_COSINE, TERM, VERSION, YEAR, hint, idf_rows, license_scan, name_rows, part_rows, template_weights
 from .ngram_jaccard import ngram_jaccard_join
 from .packing import best_fit_pack, cut_pieces
 from .quality_classifier import quality_classifier
@@ -62,13 +62,13 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents")).drop("clean_text")
 
 
-#: A document of so many characters at most, one of them a licence line, stands for the licence file of its directory (its source).
-_LICENCE_CHARS = 200
-
-
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    return license_scan(docs, F.concat_ws("/", F.lit(""), "source", F.col("doc_id").cast("string")), licence_file=F.char_length("text") <= _LICENCE_CHARS)
+    """Documents have no paths; the query gives document 1234 of a source s the path /s/1/12/1234, so that directories lie within directories."""
+    digits = F.col("doc_id").cast("string")
+    above = F.transform(F.sequence(F.lit(1), F.greatest(F.length(digits) - 2, F.lit(0)), F.lit(1)), lambda n: F.substr(digits, F.lit(1), n))
+    folders = F.when(F.length(digits) > 2, above).otherwise(F.array().cast("array<string>"))
+    path = F.concat(F.lit("/"), F.concat_ws("/", F.coalesce("source", F.lit("")), folders, digits))
+    return license_scan(table(spark, sf_dir, "documents"), path)
 
 
 def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -135,34 +135,43 @@ from r
 """
 
 
-_T = range(len(TEMPLATES))
+_HINT = hint()
 OP8_SQL = rf"""
-with weights(term, idf, {', '.join(f't{i}' for i in _T)}) as (values {weight_rows().replace('D,', ',').replace('D)', ')')}),
-d as (select doc_id, '/' || coalesce(source, '') as dir, coalesce(length(text), 1000000) <= {_LICENCE_CHARS} as whole, coalesce(text, '') as t from documents),
-hinted as (select * from d where regexp_matches(t, '{HINT}')),
+with idfs(term, idf) as (values {idf_rows().replace("D)", "e0)")}),
+parts(term, i, part) as (values {part_rows().replace("D)", "e0)")}),
+names(i, name) as (values {name_rows()}),
+d as (
+  select doc_id, lower(coalesce(text, '')) as t,
+         '/' || coalesce(source, '') || array_to_string(list_transform(range(1, greatest(length(doc_id::varchar) - 2, 0) + 1), lambda n: '/' || substring(doc_id::varchar, 1, n)), '') as dir
+  from documents),
+hinted as (select doc_id, dir, t, len(regexp_extract_all(t, '{TERM}')) as size from d where regexp_matches(t, '{_HINT}')),
 segments as (
-  select doc_id, line, segment from (
-    select doc_id, unnest(range(0, len(ls))) as line, unnest(ls) as segment from (select doc_id, string_split(t, chr(10)) as ls from hinted))
-  where regexp_matches(segment, '{HINT}')
-  union all select doc_id, -1, t from hinted where whole),
+  select doc_id, dir, size, 'line' as kind, line, segment from (
+    select doc_id, dir, size, unnest(range(0, len(ls))) as line, unnest(ls) as segment from (select *, string_split(t, chr(10)) as ls from hinted))
+  union all
+  select doc_id, dir, size, 'block' as kind, line, segment from (
+    select doc_id, dir, size, unnest(range(0, len(ls))) as line, unnest(ls) as segment from (select *, regexp_split_to_array(t, '{GAP}') as ls from hinted))),
 terms as (
-  select doc_id, line, term, count(*) as n
-  from (select doc_id, line, unnest(regexp_extract_all(lower(segment), '{TERM}')) as term from segments) group by all),
-w as (select terms.*, weights.* exclude (term), n * coalesce(idf, {template_weights()[2]!r}) as w from terms left join weights using (term)),
-dots as (select doc_id, line, sqrt(sum(w * w)) as norm, {', '.join(f'sum(w * coalesce(t{i}, 0)) as d{i}' for i in _T)} from w group by doc_id, line),
-scores as ({' union all '.join(f"select doc_id, line, {i} as i, '{TEMPLATES[i][0]}' as license, round(d{i} / norm, 4) as cosine from dots" for i in _T)}),
+  select doc_id, dir, size, kind, line, regexp_replace(term, '{VERSION}', '\1') as term, count(*) as n
+  from (select doc_id, dir, size, kind, line, unnest(regexp_extract_all(segment, '{TERM}')) as term from segments) group by all),
+weighted as (
+  select terms.*, case when regexp_matches(term, '{YEAR}') then 0 else n * coalesce(idf, {template_weights()[2]!r}) end as w from terms left join idfs using (term)),
+norms as (select doc_id, dir, size, kind, line, sqrt(sum(w * w)) as norm, sum(n) as n_terms from weighted group by all),
+dots as (select doc_id, kind, line, i, sum(w * part) as d from weighted join parts using (term) group by all),
+scored as (select norms.*, i, round(d / norm, 4) as cosine from dots join norms using (doc_id, kind, line) where norm > 0),
 own as (
-  select * from scores where cosine >= {MIN_COSINE}
-  qualify row_number() over (partition by doc_id order by cosine desc, i, line) = 1),
+  select scored.*, name as license, 2 * n_terms >= size or regexp_matches(doc_id::varchar, '{LICENCE_FILE}') as licence_file from scored join names using (i) where cosine >= {MIN_COSINE}
+  qualify row_number() over (partition by doc_id order by cosine desc, i, kind, line) = 1),
 licences as (
-  select dir, license from (select dir, license, count(*) as n from d join own using (doc_id) where whole group by dir, license)
+  select dir as above, license from (select dir, license, count(*) as n from own where licence_file group by dir, license)
   qualify row_number() over (partition by dir order by n desc, license) = 1),
-found as (
-  select d.doc_id, own.license, own.cosine, own.line, l.license as inherited_license, l.dir as inherited_from
-  from d left join own using (doc_id) left join licences l on l.dir = d.dir)
-select doc_id, license, cosine, line::bigint as line,
-       case when license is null then inherited_license end as inherited_license, case when license is null then inherited_from end as inherited_from
-from found
+dirs as (select distinct dir from d),
+nearest as (
+  select dir, above, license from dirs join licences on dir = above or starts_with(dir, above || '/')
+  qualify row_number() over (partition by dir order by length(above) desc) = 1)
+select d.doc_id, own.license, own.cosine, own.kind as segment, own.line::bigint as line, coalesce(own.licence_file, false) as licence_file,
+       case when own.license is null then nearest.license end as inherited_license, case when own.license is null then above end as inherited_from
+from d left join own using (doc_id) left join nearest on nearest.dir = d.dir
 """
 
 

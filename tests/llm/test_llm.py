@@ -14,7 +14,6 @@ from strandlake.llm.bpe import Encoder, bpe_decode, bpe_encode, vocabulary
 from strandlake.llm.exact_dedup import exact_dedup
 from strandlake.llm.html_extract import extract, html_extract
 from strandlake.llm.language_id import Scorer, fit, learn
-from strandlake.llm.license_scan import license_scan
 from strandlake.llm.quality_classifier import quality_classifier
 from strandlake.llm.quality_rules import quality_rules
 
@@ -111,13 +110,6 @@ def test_rules(spark):
     assert got[5]["n_repeat_words"] == 6 and got[3]["n_dup_lines"] == 19 and got[0]["clean_text"] == ""
 
 
-def test_licences(spark):
-    files = [(0, "/a/LICENSE", "Released under the MIT License."), (1, "/a/b/x.c", "int main"), (2, "/a/y.c", "Licensed under the Apache License, Version 2.0."), (3, None, None), (4, "/ab/z.c", "")]
-    got = {r["doc_id"]: r for r in license_scan(spark.createDataFrame(files, "doc_id long, path string, text string"), __import__("pyspark").sql.functions.col("path")).collect()}
-    assert got[0]["license"] == "mit" and got[2]["license"] == "apache-2.0"
-    assert (got[1]["inherited_license"], got[1]["inherited_from"]) == ("mit", "/a") and got[3]["inherited_license"] is None and got[4]["inherited_license"] is None
-
-
 def test_pages(spark):
     page = "<html><head><title>t</title></head><body><nav><ul><li><a href=x>Home</a></ul></nav><article><h1>A &amp; B</h1><p>First  one<br>two <b>three</b>.<p>Last.<div class='comments'><p>me too</p></div></article><footer>end</footer></body></html>"
     assert extract(page, {}) == "A & B First one two three. Last."
