@@ -6,6 +6,7 @@ a few array steps rather than a Python object.
 
 from __future__ import annotations
 
+import contextlib
 import gc
 import tempfile
 import uuid
@@ -61,9 +62,25 @@ def drop_folder(spark: SparkSession, path: str) -> None:
     place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
+_stored: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def passing_tables(spark: SparkSession) -> Iterator[None]:
+    """Deletes at its end what store() wrote meanwhile: for work whose result has been written by then."""
+    _stored.append([])
+    try:
+        yield
+    finally:
+        for path in _stored.pop():
+            drop_folder(spark, path)
+
+
 def store(df: DataFrame) -> DataFrame:
-    """Cuts the lineage with a Parquet table beside the checkpoints: smaller than a checkpoint where rows are many. The session's end leaves it to the folder's owner."""
+    """Cuts the lineage with a Parquet table beside the checkpoints: smaller than a checkpoint where rows are many. It lasts as long as the passing_tables around it, else until the folder's owner clears the folder."""
     path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    if _stored:
+        _stored[-1].append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -116,10 +116,3 @@ def test_pages(spark):
     pages = spark.createDataFrame([(0, "u", page, "t"), (1, "u", None, "t"), (2, None, "", "t"), (0, "u", page, "t")], "page_id long, url string, html string, text string")
     got = html_extract(pages).collect()
     assert sorted((r["page_id"], r["n_chars"]) for r in got) == [(0, 32), (0, 32), (1, 0), (2, 0)]
-
-
-def test_pipeline(spark):
-    import corpus_pipeline
-
-    rows = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
-    assert {"doc_id", "piece", "sequence_id", "offset"} <= set(rows.columns) and rows.count() > 100
