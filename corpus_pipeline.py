@@ -1,11 +1,11 @@
 """A corpus from raw documents to packed sequences: language, exact copies, near copies, repeated passages, packing.
 
-Every stage gets all rows that the one before kept, written as Parquet in the shared folder that the session names in spark.checkpoint.dir.
+Every stage gets all rows that the one before kept, written as Parquet in the shared folder that the session names in spark.checkpoint.dir. What a stage
+wrote is deleted when the next one is done; the last stage's table is the result.
 """
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import public_tokenizers
@@ -13,21 +13,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from strandlake.llm.common import broadcast_if_small, cut
+from strandlake.llm.common import broadcast_if_small, cut, drop_folder, passing_tables, shared_folder
 from strandlake.llm.exact_dedup import WHITE, exact_dedup
 from strandlake.llm.language_id import keep_identified
 from strandlake.llm.ngram_jaccard import ngram_jaccard_join
 from strandlake.llm.packing import best_fit_pack, cut_pieces
 from strandlake.llm.suffix_dedup import suffix_dedup
 
-#: The tokenizer and the thresholds are beyond SQL; tests/llm compares the stages with brute force.
+#: The tokenizer and the thresholds are beyond SQL; tests/llm/test_pipeline.py compares each stage with plain Python on its own input.
 ORACLE_SQL = None
 
 
 def without(docs: DataFrame, verdict: DataFrame) -> DataFrame:
     """docs less the ids none of whose rows is kept. The ids that go are the fewer; rows without an id stay."""
     gone = cut(verdict.groupBy("doc_id").agg(F.max("kept").alias("any")).where(~F.col("any")).select("doc_id"))
-    return docs.join(broadcast_if_small(gone, gone.count(), 24), "doc_id", "left_anti")
+    n = gone.count()
+    named = docs.where("doc_id is not null").join(broadcast_if_small(gone, n, 24), "doc_id", "left_anti")  # rows without an id would meet in one task
+    return named.unionByName(docs.where("doc_id is null"))
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -71,10 +73,14 @@ STAGES = [("language_id", language), ("exact_dedup", exact), ("near_duplicates",
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="strandlake-")
-    folder = f"{base}/pipeline-{uuid.uuid4().hex}"
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for i, (name, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{i}-{name}")
-        docs = spark.read.parquet(f"{folder}/{i}-{name}")
+        here = f"{folder}/{i}-{name}"
+        with passing_tables(spark):
+            stage(spark, docs, sf_dir).write.parquet(here)
+        docs = spark.read.parquet(here)
+        if before:
+            drop_folder(spark, before)
+        before = here
     return docs
