@@ -118,6 +118,25 @@ def hint() -> str:
     return f"(?:^|[^a-z0-9])(?:{'|'.join(f'v?{t}' if t.isdigit() else t for t in needed_terms())})(?:$|[^a-z0-9])"
 
 
+def may_reach(segment: Column, least: float = MIN_COSINE) -> Column:
+    """False only for lower-cased segments whose cosine to every template is below `least`: told from the counts of their terms, within the row.
+
+    With K and U the squared weights of the segment's terms that templates do and don't hold, a cosine is at most sqrt(K / (K + U)). K is at most the largest idf squared times the
+    squared counts of those terms; U is at least the squared idf of foreign terms times n * n / d, for n of them, d different ones.
+    """
+    idf, _, other = template_weights()
+    known = [t for t, w in idf.items() if w]
+    known += [f"v{t}" for t in known if t.isdigit()]
+    terms = F.regexp_extract_all(segment, F.lit(TERM), F.lit(0))
+    ours = F.filter(terms, lambda t: t.isin(known))
+    foreign = F.filter(terms, lambda t: ~t.isin([*known, *sorted(STOP)]) & ~t.rlike(YEAR))
+    squares = F.aggregate(F.transform(F.array_distinct(ours), lambda t: F.size(F.filter(ours, lambda x: x == t))), F.lit(0).cast("double"), lambda a, n: a + n * n)
+    n, d = F.size(foreign), F.greatest(F.size(F.array_distinct(foreign)), F.lit(1))
+    # a version with a v and its number may be one term counted twice over, hence the factor 2
+    most = 2 * max(idf.values()) ** 2 * squares
+    return n.cast("double") * n / d * other**2 * least**2 <= most * (1 - least**2) + 1e-6
+
+
 def idf_rows() -> str:
     return ", ".join(f"('{t}', {w!r}D)" for t, w in template_weights()[0].items())
 
@@ -139,11 +158,11 @@ def license_scan(files: DataFrame, path: Column, id_col: str = "doc_id", text_co
     """One row per input row: <id_col>, license and cosine (of the best segment; null if none reaches MIN_COSINE), segment ("line" or "block") and line
     (its number of that kind, from 0), licence_file, inherited_license and inherited_from (a directory).
 
-    Segments are all lines, and all blocks of lines between lines without a term. Of equal cosines, the first template, then "block", then the first
+    Segments are all lines, and all blocks of two or more lines between lines without a term. Of equal cosines, the first template, then "block", then the first
     number wins. A file is a licence file if its name says so, or if its best segment holds half of its terms or more. A file without a licence of its own inherits
     from the nearest directory at or above its own that has a licence file with a licence; where files there differ, the most frequent licence counts, then the
     first by name. Null and empty texts have no licence of their own; a null path is the root. Repeated rows get equal results; other columns are ignored.
-    Only segments that may reach MIN_COSINE (needed_terms) leave the scan, so a long text costs no more than its lines.
+    Only segments that may reach MIN_COSINE (needed_terms, may_reach) leave the scan; a long text costs no more than its lines and blocks.
     """
     spark, pattern = files.sparkSession, hint()
     _, _, other = template_weights()
@@ -158,10 +177,10 @@ def license_scan(files: DataFrame, path: Column, id_col: str = "doc_id", text_co
 
     def cut_at(kind: str, at: str) -> Column:
         parts = F.transform(F.split("_text", at), lambda s, i: F.struct(F.lit(kind).alias("kind"), i.cast("long").alias("line"), s.alias("segment")))
-        return F.filter(parts, lambda p: p["segment"].rlike(pattern))
+        return F.filter(parts, lambda p: p["segment"].rlike(pattern) & (F.lit(kind == "line") | p["segment"].contains("\n")))
 
     found = hinted.select(*key, "_size", F.explode(F.concat(cut_at("block", GAP), cut_at("line", "\n"))).alias("s")).select(*key, "_size", "s.*")
-    segments = cut(found.dropDuplicates([*key, "kind", "line"]))
+    segments = cut(found.where(may_reach(F.col("segment"))).dropDuplicates([*key, "kind", "line"]))
     own_key = [*key, "_size", "kind", "line"]
     term = F.regexp_replace("term", VERSION, "$1")
     terms = segments.select(*own_key, F.explode(F.regexp_extract_all("segment", F.lit(TERM), F.lit(0))).alias("term")).select(*own_key, term.alias("term"))

@@ -150,7 +150,7 @@ segments as (
     select doc_id, dir, size, unnest(range(0, len(ls))) as line, unnest(ls) as segment from (select *, string_split(t, chr(10)) as ls from hinted))
   union all
   select doc_id, dir, size, 'block' as kind, line, segment from (
-    select doc_id, dir, size, unnest(range(0, len(ls))) as line, unnest(ls) as segment from (select *, regexp_split_to_array(t, '{GAP}') as ls from hinted))),
+    select doc_id, dir, size, unnest(range(0, len(ls))) as line, unnest(ls) as segment from (select *, regexp_split_to_array(t, '{GAP}') as ls from hinted)) where contains(segment, chr(10))),
 terms as (
   select doc_id, dir, size, kind, line, regexp_replace(term, '{VERSION}', '\1') as term, count(*) as n
   from (select doc_id, dir, size, kind, line, unnest(regexp_extract_all(segment, '{TERM}')) as term from segments) group by all),

@@ -7,7 +7,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from strandlake.llm.license_scan import GAP, LICENCE_FILE, MIN_COSINE, SPDX, TEMPLATES, YEAR, _terms, hint, license_scan, template_weights
+from strandlake.llm.license_scan import GAP, LICENCE_FILE, MIN_COSINE, SPDX, TEMPLATES, YEAR, _terms, hint, license_scan, may_reach, template_weights
 
 IDF, PARTS, OTHER = template_weights()
 VECTORS = [{t: w for t, j, w in PARTS if j == i} for i in range(len(TEMPLATES))]
@@ -21,7 +21,7 @@ def cosines(segment):
 
 def best_of(text):
     """(licence, cosine, kind, number, terms) of the best of all lines and blocks; None if none is near enough."""
-    segments = [("block", i, s) for i, s in enumerate(re.split(GAP, text.lower()))] + [("line", i, s) for i, s in enumerate(text.lower().split("\n"))]
+    segments = [("block", i, s) for i, s in enumerate(re.split(GAP, text.lower())) if "\n" in s] + [("line", i, s) for i, s in enumerate(text.lower().split("\n"))]
     scored = [(-c, i, kind, n, len(re.findall("[a-z0-9]+", s))) for kind, n, s in segments for i, c in enumerate(cosines(s)) if c >= MIN_COSINE]
     return (TEMPLATES[min(scored)[1]][0], -min(scored)[0], *min(scored)[2:]) if scored else None
 
@@ -83,6 +83,18 @@ def test_the_filter_loses_no_segment():
         assert max(cosines(text)) < MIN_COSINE or re.search(hint(), text)
 
 
+def test_the_counts_lose_no_segment(spark):
+    import random
+
+    rng = random.Random(4)
+    vocabulary, texts = [t for t, _, _ in PARTS] + ["v2", "v3", "2", "1999", "mill", "river", "village"], []
+    for _ in range(3000):
+        words = rng.choice(TEMPLATES)[1].split()
+        texts.append(" ".join(rng.sample(words, rng.randint(1, len(words))) * rng.randint(1, 3) + rng.choices(vocabulary, k=rng.randint(0, 12))).lower())
+    rows = spark.createDataFrame([(t,) for t in [*texts, "mit dem " + "wort und satz " * 50]], "t string").select("t", may_reach(F.col("t")).alias("may")).collect()
+    assert all(r["may"] for r in rows if max(cosines(r["t"])) >= MIN_COSINE) and not rows[-1]["may"] and sum(r["may"] for r in rows) < len(rows)
+
+
 def test_scan(spark):
     files = [(i, f"/p/src/f{i}.c", t) for i, (t, _) in enumerate(HEADERS)]
     files += [
