@@ -51,13 +51,14 @@ def runs(s: Column | str) -> Column:
 
 
 def run_structs(s: Column | str) -> Column:
-    """(pos, len, ch) of the maximal runs, pos from 0."""
-    start = F.aggregate(
-        runs(s),
-        F.array().cast("array<struct<pos: bigint, len: bigint, ch: string>>"),
-        lambda acc, r: F.concat(acc, F.array(F.struct(F.coalesce(F.get(acc, F.size(acc) - 1)["pos"] + F.get(acc, F.size(acc) - 1)["len"], F.lit(0).cast("bigint")).alias("pos"), F.length(r).cast("bigint").alias("len"), F.substring(r, 1, 1).alias("ch")))),
-    )
-    return start
+    """(pos, len, ch) of the maximal runs, pos from 0. A run begins where a character differs from the one before; linear in the text."""
+    chars = F.filter(F.split(col(s), ""), lambda c: c != "")
+    placed = F.transform(chars, lambda c, i: F.struct(i.cast("bigint").alias("pos"), c.alias("ch")))
+    begins = F.filter(F.zip_with(placed, F.concat(F.array(F.lit("")), chars), lambda x, before: F.when(x["ch"] != before, x)), lambda x: x.isNotNull())
+    end = F.array(F.struct(F.length(col(s)).cast("bigint").alias("pos"), F.lit("").alias("ch")))
+    next_ = F.concat(F.slice(begins, F.lit(2), F.greatest(F.size(begins), F.lit(1))), end)
+    pairs = F.zip_with(begins, next_, lambda x, y: F.struct(x["pos"].alias("pos"), (y["pos"] - x["pos"]).alias("len"), x["ch"].alias("ch")))
+    return F.filter(pairs, lambda r: r["ch"].isNotNull())
 
 
 def expand(run_array: Column | str) -> Column:

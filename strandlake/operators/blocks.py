@@ -17,16 +17,23 @@ def fixed_blocks(df: DataFrame, record: str, size: int) -> DataFrame:
     return df.withColumn("block_id", F.floor(F.col(record) / size).cast("bigint"))
 
 
-def bounded_blocks(df: DataFrame, record: str, length: str, most_records: int = 10_000, most_bases: int = 2_000_000) -> DataFrame:
-    """block_id under both limits: a block is closed before the read after the one that reached either. The rule is sequential, so one task scans
-    two numbers a read; nothing else of the reads passes through it."""
-    lengths = df.select(F.col(record).alias("r"), F.col(length).cast("bigint").alias("n")).repartition(1).sortWithinPartitions("r")
+def bounded_blocks(df: DataFrame, record: str, length: str, most_records: int = 10_000, most_bases: int = 2_000_000, chunk: int | None = None) -> DataFrame:
+    """block_id under both limits: a block is closed before the read after the one that reached either.
+
+    The rule is sequential: without a chunk one task scans two numbers a read (nothing else of the reads passes through it). With one, blocks also end after every `chunk`
+    successive numbers of `record`, a whole number: chunks are then scanned side by side, and a block's id is its chunk above 2**32 and its place there.
+    """
+    lengths = df.select(F.col(record).alias("r"), F.col(length).cast("bigint").alias("n"), (F.floor(F.col(record) / chunk) if chunk else F.lit(0)).cast("bigint").alias("c"))
+    lengths = (lengths.repartition("c") if chunk else lengths.repartition(1)).sortWithinPartitions("c", "r")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = records = bases = 0
+        here = None
         for batch in batches:
             out = np.empty(batch.num_rows, np.int64)
-            for i, n in enumerate(batch.column(1).to_pylist()):
+            for i, (n, c) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
+                if c != here:
+                    here, block, records, bases = c, c << 32, 0, 0
                 if records >= most_records or bases >= most_bases:
                     block, records, bases = block + 1, 0, 0
                 out[i] = block

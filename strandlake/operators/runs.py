@@ -54,6 +54,15 @@ def boundaries(df: DataFrame, length: str, order: str, *partition: str) -> DataF
     return df.withColumns({"first": start, "last": start + F.col(length)})
 
 
+def running_start(df: DataFrame, length: str, order: str, name: str, span: int = 1 << 16) -> DataFrame:
+    """name: the sum of the lengths before each row in order of `order`, a whole number. Stretches of `span` numbers are summed first, so that one task adds up only these."""
+    rows = df.withColumn("_span", F.floor(F.col(order) / span))
+    sums = rows.groupBy("_span").agg(F.sum(length).alias("_sum"))
+    before = sums.select("_span", F.coalesce(F.sum("_sum").over(Window.orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    inside = F.coalesce(F.sum(length).over(Window.partitionBy("_span").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return rows.withColumn("_inside", inside).join(before, "_span").withColumn(name, (F.col("_inside") + F.col("_before")).cast("bigint")).drop("_inside", "_before", "_span")
+
+
 def extensions(runs: DataFrame) -> DataFrame:
     """ext_no, ext: a run longer than 1 writes len - 2 in pieces of at most 31, a full piece being followed by another."""
     rest = F.col("len") - 2

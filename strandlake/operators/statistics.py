@@ -58,12 +58,16 @@ def run_contexts(runs: DataFrame, order: int, record: str, *partition: str) -> D
     return runs.withColumns(lags).groupBy("bin", *lags, F.col("ch").alias("q")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def blend(counts: list[DataFrame], weights: tuple[float, ...], thresholds: tuple[int, ...]) -> DataFrame:
-    """q, p: a mixture of the orders' distributions given as (q, n), each weighted by weights and ln(total / threshold + 1)."""
-    found = None
-    for c, w, t in zip(counts, weights, thresholds, strict=True):
-        total = F.sum("n").over(Window.partitionBy())
-        part = c.select("q", (F.col("n") / total * w * F.ln(total / t + 1)).alias("p"), (F.lit(w) * F.ln(total / t + 1)).alias("w"))
-        found = part if found is None else found.unionByName(part)
-    whole = found.groupBy("q").agg(F.sum("p").alias("p"))
-    return whole.select("q", F.round(F.col("p") / F.sum("p").over(Window.partitionBy()), 6).alias("p"))
+def blend(after: DataFrame, whole: DataFrame, ctx: str, weights: tuple[float, float], thresholds: tuple[int, int]) -> DataFrame:
+    """ctx, q, p for every context of `after` (ctx, q, n) and every symbol of `whole` (q, n): their distributions, each weighted by weights and ln(total / threshold + 1).
+
+    `whole` has a row a symbol and the contexts are symbols, so both are small whatever the input.
+    """
+
+    def weighted(counts: DataFrame, at: int, *keys: str) -> DataFrame:
+        total = F.sum("n").over(Window.partitionBy(*keys))
+        return counts.select(*keys, "q", (F.col("n") / total * weights[at] * F.ln(total / thresholds[at] + 1)).alias("p"))
+
+    everywhere = after.select(ctx).distinct().join(F.broadcast(weighted(whole, 1)))
+    mixed = weighted(after, 0, ctx).unionByName(everywhere).groupBy(ctx, "q").agg(F.sum("p").alias("p"))
+    return mixed.select(ctx, "q", F.round(F.col("p") / F.sum("p").over(Window.partitionBy(ctx)), 6).alias("p"))

@@ -264,7 +264,7 @@ class Model:
 
 
 def lanes_of(n: int) -> int:
-    return int(min(512, max(1, n // 2048)))
+    return int(min(512, max(1, n // 1024)))
 
 
 def encode_bases(codes: np.ndarray) -> bytes:

@@ -441,10 +441,10 @@ def hamilton_cdf_small_target(spark, d):
     return statistics.hamilton(s, "symbol", target=64)
 
 
-@query(_with(READS_SQL, _QUAL, _QH, _CDF) + f"select slot, symbol from (select unnest(range(0, {numbers.PROB_TOTAL}, 257)) as slot) join cdf on slot >= cum and slot < cum + prob")
+@query(_with(READS_SQL, _QUAL, _QH, _CDF) + f"select slot, symbol from (select unnest(range(0, {numbers.PROB_TOTAL})) as slot) join cdf on slot >= cum and slot < cum + prob")
 def cdf_slot_lookup(spark, d):
     cdf = statistics.hamilton(_hist(spark, d).withColumnRenamed("q", "symbol"), "symbol")
-    slots = cdf.select("symbol", F.explode(F.filter(F.sequence(F.lit(0).cast("bigint"), F.lit(numbers.PROB_TOTAL - 1).cast("bigint"), F.lit(257).cast("bigint")), lambda s: (s >= F.col("cum")) & (s < F.col("cum") + F.col("prob")))).alias("slot"))
+    slots = cdf.where("prob > 0").select("symbol", F.explode(F.sequence("cum", F.col("cum") + F.col("prob") - 1)).alias("slot"))
     return slots.select("slot", "symbol")
 
 
@@ -455,7 +455,7 @@ def _ctx_sql(order: int, complemented: bool = True) -> str:
     return f"ctxs as (select {_v4('ctx')} as ctx, {b} as base, count(*) as n from (select {ctx} as ctx, {base} as base from kmers) group by 1, 2)"
 
 
-for _order in (1, 2, 3, 4, 5):
+for _order in (0, 1, 2, 3, 4, 5, 6, 8, 11, 16):
 
     def _ctx(spark, d, order=_order):
         return kmers.context_counts(reads(spark, d), order)
@@ -478,12 +478,9 @@ def static_pooled_model(spark, d):
     return statistics.hamilton(c, "symbol", "ctx")
 
 
-@query(_with(READS_SQL, _kmers(6), _ctx_sql(5)) + "select ctx, base, n, total from (select *, sum(n) over (partition by ctx)::bigint as total from ctxs) where total > (select avg(t) from (select sum(n) as t from ctxs group by ctx))::bigint")
+@query(_with(READS_SQL, _kmers(9), _ctx_sql(8)) + "select ctx, base, n, total from (select *, sum(n) over (partition by ctx)::bigint as total from ctxs) where total > 8")
 def ctx_evicted(spark, d):
-    c = kmers.context_counts(reads(spark, d), 5)
-    mean = c.groupBy("ctx").agg(F.sum("n").alias("t")).agg(F.round(F.avg("t")).cast("bigint").alias("mean"))
-    total = c.groupBy("ctx").agg(F.sum("n").alias("total")).join(F.broadcast(mean)).where("total > mean").drop("mean")
-    return c.join(total, "ctx").select("ctx", "base", "n", "total")
+    return kmers.evict(kmers.context_counts(reads(spark, d), 8), 8).select("ctx", "base", "n", "total")
 
 
 @query(_with(READS_SQL, _kmers(4), _ctx_sql(3)) + "select ctx, max(t)::bigint as total, round(sum(-(n / t) * log2(n / t)), 4) as bits from (select *, sum(n) over (partition by ctx) as t from ctxs) group by ctx")
@@ -506,7 +503,18 @@ def ctx_lookup(spark, d):
     return key.join(kmers.context_counts(reads(spark, d), 2), ["ctx", "base"], "left").select("kmer", "next", F.coalesce("n", F.lit(0).cast("bigint")).alias("n"))
 
 
-@query()
+def _confidence_sql(orders: range) -> str:
+    parts = [READS_SQL]
+    for k in orders:
+        parts += [_kmers(k + 1).replace("kmers as", f"k{k} as", 1), _ctx_sql(k).replace("ctxs as", f"c{k} as", 1).replace("from kmers", f"from k{k}")]
+    best = " union all ".join(
+        f"(select {k}::bigint as k, ctx, base, round((n + 1)::double / (t + 4), 6) as p, {min(7, k // 2)}::bigint as bucket from (select *, sum(n) over (partition by ctx)::bigint as t from c{k}) order by p desc, ctx, base limit 1)"
+        for k in orders
+    )
+    return _with(*parts) + best
+
+
+@query(_confidence_sql(range(1, 5)))
 def order_of_confidence(spark, d):
     return kmers.most_confident(reads(spark, d), range(1, 5))
 
@@ -519,72 +527,113 @@ def stretch_squash(spark, d):
     return p.select("q", F.round(numbers.squash(numbers.stretch("p")), 6).alias("p"), F.round(numbers.stretch("p"), 4).alias("stretched"))
 
 
-@query()
+_BINS_SQL = f"bins as (select read_id, run_no, ch, read_id // {BLOCK} as block_id from runs)"
+_PPM = """h0 as (select ch as q, count(*) as n from bins group by ch),
+h1 as (select p1, ch as q, count(*) as n from (select ch, lag(ch) over (partition by block_id order by read_id, run_no) as p1 from bins) where p1 is not null group by 1, 2),
+t0 as (select sum(n) as t from h0), t1 as (select p1, sum(n) as t from h1 group by p1),
+part as (select t1.p1, h0.q, (h0.n / t0.t) * 1.0 * ln(t0.t / 1 + 1) as p from t1, h0, t0
+  union all select h1.p1, h1.q, (h1.n / t1.t) * 2.0 * ln(t1.t / 8 + 1) from h1 join t1 using (p1)),
+mixed as (select p1, q, sum(p) as p from part group by p1, q)"""
+
+
+@query(_with(_RUNS, _BINS_SQL, _PPM) + "select p1, q, round(p / sum(p) over (partition by p1), 6) as p from mixed")
 def ppm_blend(spark, d):
     r = _run_bins(spark, d)
     whole = r.groupBy(F.col("ch").alias("q")).agg(F.count(F.lit(1)).alias("n"))
-    after = statistics.run_contexts(r, 1, "read_id", "block_id").where("p1 = 'F'").groupBy("q").agg(F.sum("n").alias("n"))
-    return statistics.blend([whole, after], (1.0, 2.0), (1, 8))
+    after = statistics.run_contexts(r, 1, "read_id", "block_id").where("p1 is not null").groupBy("p1", "q").agg(F.sum("n").alias("n"))
+    return statistics.blend(after, whole, "p1", (2.0, 1.0), (8, 1))
 
 
 # --- repeats
 
-_PREV = f"""prev as (select read_id, pos, ctx, next, lag(read_id) over w as prev_read, lag(pos) over w as prev_pos, lag(next) over w as prev_next
+_PREV = f"""prev as (select read_id, pos, ctx, next, {', '.join(f'lag(read_id, {i}) over w as prev{i}_read, lag(pos, {i}) over w as prev{i}_pos, lag(next, {i}) over w as prev{i}_next' for i in (1, 2, 3))}
   from (select read_id, pos, {_v4('substring(kmer, 1, 8)')} as ctx, substring(kmer, 9, 1) as next from kmers) window w as (partition by ctx order by read_id, pos))"""
 
 
 def _previous(spark, d):
-    p = repeats.previous_occurrences(reads(spark, d), 8, "read_id", 1)
-    return p.select("read_id", "pos", "ctx", "next", F.col("prev1.record").alias("prev_read"), F.col("prev1.pos").alias("prev_pos"), F.col("prev1.next").alias("prev_next"))
+    p = repeats.previous_occurrences(reads(spark, d), 8, "read_id", span=5000)
+    return p.select("read_id", "pos", "ctx", "next", *[F.col(f"prev{i}.{a}").alias(f"prev{i}_{b}") for i in (1, 2, 3) for a, b in (("record", "read"), ("pos", "pos"), ("next", "next"))])
 
 
-@query(_with(READS_SQL, _kmers(9), _PREV) + "select * from prev where prev_read is not null")
+@query(_with(READS_SQL, _kmers(9), _PREV) + "select * from prev where prev1_read is not null")
 def prev_occurrence_match(spark, d):
-    return _previous(spark, d).where("prev_read is not null")
+    return _previous(spark, d).where("prev1_read is not null")
+
+
+@query(_with(READS_SQL, _kmers(9), _PREV) + "select read_id, pos, case when next = prev1_next then 1 when next = prev2_next then 2 when next = prev3_next then 3 else 0 end::bigint as candidate from prev")
+def verified_match(spark, d):
+    return _previous(spark, d).select("read_id", "pos", repeats.verified("next", "prev1_next", "prev2_next", "prev3_next").alias("candidate"))
 
 
-_HITS = "hits as (select read_id, pos, coalesce((next = prev_next)::int, 0) as hit from prev)"
+_HITS = "hits as (select read_id, pos, coalesce((next = prev1_next)::int, 0) as hit from prev)"
 
 
 @query(_with(READS_SQL, _kmers(9), _PREV, _HITS) + "select read_id, pos, hit::bigint as hit, (sum(hit) over (partition by read_id, g order by pos))::bigint as streak from (select *, sum(1 - hit) over (partition by read_id order by pos) as g from hits)")
 def match_streaks(spark, d):
-    hits = _previous(spark, d).select("read_id", "pos", F.coalesce((F.col("next") == F.col("prev_next")).cast("bigint"), F.lit(0).cast("bigint")).alias("hit"))
+    hits = _previous(spark, d).select("read_id", "pos", F.coalesce((F.col("next") == F.col("prev1_next")).cast("bigint"), F.lit(0).cast("bigint")).alias("hit"))
     return repeats.streaks(hits, "hit", "pos", "read_id")
 
 
 @query(_with(READS_SQL, _kmers(9), _PREV, _HITS) + "select read_id, pos, (sum(1 - hit) over (partition by read_id order by pos rows between 31 preceding and current row))::bigint as misses from hits")
 def mismatch_window32(spark, d):
-    rows = _previous(spark, d).select("read_id", "pos", F.coalesce((F.col("next") != F.col("prev_next")).cast("bigint"), F.lit(1).cast("bigint")).alias("miss"))
+    rows = _previous(spark, d).select("read_id", "pos", F.coalesce((F.col("next") != F.col("prev1_next")).cast("bigint"), F.lit(1).cast("bigint")).alias("miss"))
     return repeats.recent_misses(rows, "miss", "pos", "read_id").select("read_id", "pos", "misses")
 
 
-@query(_with(READS_SQL, _kmers(9), _PREV) + f"select case when prev_next = next then 'match' when {COMP.format('prev_next')} = next then 'transition' else 'transversion' end as edit, count(*) as n from prev where prev_next is not null group by 1")
+@query(_with(READS_SQL, _kmers(9), _PREV) + f"select case when prev1_next = next then 'match' when {COMP.format('prev1_next')} = next then 'transition' else 'transversion' end as edit, count(*) as n from prev where prev1_next is not null group by 1")
 def edit_classes(spark, d):
-    return _previous(spark, d).where("prev_next is not null").groupBy(dna.edit_class("prev_next", "next").alias("edit")).agg(F.count(F.lit(1)).alias("n"))
-
-
-@query(_with(CONTIGS_SQL, _kmers(6, "doc_id", "contigs", "s")) + "select doc_id, kmer, pos, source from (select *, lag(pos) over (partition by doc_id, kmer order by pos) as source from kmers) where pos - source >= 6")
+    return _previous(spark, d).where("prev1_next is not null").groupBy(dna.edit_class("prev1_next", "next").alias("edit")).agg(F.count(F.lit(1)).alias("n"))
+
+
+_COPY = f"""k12 as (select doc_id, pos, kmer, 12 as k from {{0}}),
+k8 as (select doc_id, pos, kmer, 8 as k from {{1}}),
+spots as (select * from k12 union all select * from k8),
+wanted as (
+  select doc_id, k, pos, kmer as key, true as asks, 'direct' as channel from spots union all select doc_id, k, pos, kmer, false, 'direct' from spots
+  union all select doc_id, k, pos, kmer, true, 'complement' from spots union all select doc_id, k, pos, {COMP.format('kmer')}, false, 'complement' from spots),
+sources as (
+  select *, last_value(case when not asks then pos end ignore nulls) over w as s1, last_value(case when not asks then before end ignore nulls) over w as s2
+  from (select *, case when not asks then lag(pos) over (partition by doc_id, k, channel, key, asks order by pos) end as before from wanted)
+  window w as (partition by doc_id, k, channel, key order by pos, asks rows between unbounded preceding and 1 preceding)),
+candidates as (
+  select doc_id, pos + k as pos, k, channel, r, s + k as source from (
+    select doc_id, pos, k, channel, 1 as r, case when s1 = pos then s2 else s1 end as s from sources where asks
+    union all select doc_id, pos, k, channel, 2, s2 from sources where asks and s1 <> pos)
+  where pos - s >= k)"""
+_COPY_SQL = _with(CONTIGS_SQL, _kmers(12, "doc_id", "contigs", "s").replace("kmers as", "m12 as", 1), _kmers(8, "doc_id", "contigs", "s").replace("kmers as", "m8 as", 1), _COPY.format("m12", "m8"))
+
+
+@query(_COPY_SQL + """select doc_id, pos, k::bigint as anchor, channel, source from candidates c where not exists (
+  select 1 from candidates o where o.doc_id = c.doc_id and o.pos = c.pos and abs(o.source - c.source) <= 4 and o.channel = c.channel and (o.k > c.k or (o.k = c.k and o.r < c.r)))""")
 def copy_match(spark, d):
-    return repeats.copies(contigs(spark, d).withColumnRenamed("s", "seq"), 6, "doc_id").select("doc_id", "kmer", "pos", "source")
+    found = repeats.copies(contigs(spark, d).withColumnRenamed("s", "seq"), "doc_id", anchors=(12, 8))
+    return found.select("doc_id", "pos", "anchor", "channel", "source")
 
 
-@query(_with(READS_SQL) + "select read_id, bit_count((read_id * 2654435761 % 4294967296)::bigint & 65535) <= 7 as tolerant from reads")
+@query(_with(READS_SQL, _kmers(9), _PREV, _HITS, "edits as (select *, sum(1 - hit) over (partition by read_id order by pos rows between 15 preceding and current row) as edits from hits)") + "select read_id, pos, edits <= 7 as tolerant from edits")
 def tolerant_gate(spark, d):
-    return reads(spark, d).select("read_id", repeats.tolerant(F.expr("read_id * 2654435761 % 4294967296"), 16, 7).alias("tolerant"))
+    rows = _previous(spark, d).select("read_id", "pos", F.coalesce((F.col("next") != F.col("prev1_next")).cast("bigint"), F.lit(1).cast("bigint")).alias("miss"))
+    return repeats.edit_history(rows, "miss", "pos", "read_id").select("read_id", "pos", repeats.tolerant(F.col("history"), 16, 7).alias("tolerant"))
 
 
-@query(_with(READS_SQL) + "select read_id, round(list_reduce(list_prepend(0.0::double, list_transform(string_split(seq, ''), lambda c: (c in ('G', 'C'))::int::double)), lambda a, x: a + (x - a) * 0.05), 6) as ema from reads")
+@query(_with(READS_SQL, _kmers(9), _PREV, _HITS) + "select read_id, pos from (select read_id, pos, sum(1 - hit) over (partition by read_id order by pos rows between 31 preceding and current row) as m from hits) where m <= 3")
+def mismatch_kept(spark, d):
+    rows = _previous(spark, d).select("read_id", "pos", F.coalesce((F.col("next") != F.col("prev1_next")).cast("bigint"), F.lit(1).cast("bigint")).alias("miss"))
+    return repeats.recent_misses(rows, "miss", "pos", "read_id").where("misses <= 3").select("read_id", "pos")
+
+
+@query(_with(READS_SQL, _kmers(4)) + f"select read_id, round(list_reduce(list_prepend(0.0::double, list(case when {_TRANSFORM} in ('C', 'CR') then 1.0::double else 0.0 end order by pos)), lambda a, x: a + (x - a) * 0.05), 6) as ema from kmers group by read_id")
 def transform_moving_average(spark, d):
-    gc = F.transform(F.filter(F.split("seq", ""), lambda c: c != ""), lambda c: c.isin("G", "C").cast("int"))
-    return reads(spark, d).select("read_id", F.round(repeats.moving_average(gc), 6).alias("ema"))
+    r = reads(spark, d).select("read_id", F.transform(dna.pure_kmers("seq", 4), lambda k: dna.canonical_transform(k).isin("C", "CR").cast("int")).alias("uses"))
+    return r.where("size(uses) > 0").select("read_id", F.round(repeats.moving_average(F.col("uses")), 6).alias("ema"))
 
 
 # --- records, checks and reports
 
 
-@query(_with(READS_SQL) + "select read_id, '>' || identifier || chr(10) || regexp_replace(seq, '(.{20})', '\\1' || chr(10), 'g') as fasta from reads where length(seq) % 20 > 0")
+@query(_with(READS_SQL) + "select read_id, '>' || identifier || chr(10) || rtrim(regexp_replace(seq, '(.{20})', '\\1' || chr(10), 'g'), chr(10)) as fasta from reads")
 def fasta_wrap(spark, d):
-    return reads(spark, d).where("length(seq) % 20 > 0").select("read_id", F.concat(F.lit(">"), "identifier", F.lit("\n"), text.wrap("seq", 20)).alias("fasta"))
+    return reads(spark, d).select("read_id", F.concat(F.lit(">"), "identifier", F.lit("\n"), text.wrap("seq", 20)).alias("fasta"))
 
 
 @query(_with(READS_SQL) + "select read_id, '@' || identifier || chr(10) || seq || chr(10) || '+' || chr(10) || qual as fastq, length(seq) > 0 and length(seq) = length(qual) as valid from reads")
@@ -616,11 +665,6 @@ def concat_sequences(spark, d):
     return rows.groupBy("block_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("doc_id", "s"))), lambda x: x["s"]), "").alias("s"))
 
 
-@query(_with(READS_SQL) + "select seq as key, count(*) as n, min(read_id) as first from (select read_id, substring(seq, 1, 5) as seq from reads) group by seq")
-def read_prefix_dedup(spark, d):
-    return reads(spark, d).groupBy(F.substring("seq", 1, 5).alias("key")).agg(F.count(F.lit(1)).alias("n"), F.min("read_id").alias("first"))
-
-
 @query(_with(READS_SQL) + "select read_id, identifier, seq, '' as plus_line, qual from reads")
 def codec_roundtrip(spark, d):
     from .codec import decode_blocks, encode_blocks
@@ -629,6 +673,22 @@ def codec_roundtrip(spark, d):
     return decode_blocks(encode_blocks(rows, "read_id"), "read_id").select("read_id", "identifier", "seq", "plus_line", "qual")
 
 
+@query(_with(CONTIGS_SQL) + "select doc_id as record_no, 'doc ' || doc_id as header, s as sequence from contigs")
+def fasta_archive_roundtrip(spark, d):
+    from .codec import archive_fasta, decode_fasta
+
+    rows = contigs(spark, d).select(F.col("doc_id").alias("record_no"), F.concat(F.lit("doc "), "doc_id").alias("header"), F.col("s").alias("sequence"))
+    return decode_fasta(archive_fasta(rows, piece=10_000))
+
+
+@query(_with(READS_SQL) + "select read_id, identifier, seq, case when read_id % 3 = 0 then identifier else '' end as plus_line, qual from reads")
+def adaptive_roundtrip(spark, d):
+    from .codec import Options, archive, decode_blocks
+
+    rows = reads(spark, d).withColumn("plus_line", F.when(F.col("read_id") % 3 == 0, F.col("identifier")).otherwise(F.lit("")))
+    return decode_blocks(archive(rows, "read_id", Options("adaptive")), "read_id").select("read_id", "identifier", "seq", "plus_line", "qual")
+
+
 @query()
 def archive_stats(spark, d):
     from .codec import archive_report, encode_blocks

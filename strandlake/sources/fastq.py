@@ -17,6 +17,16 @@ def to_text(identifier: Column | str, seq: Column | str, plus_line: Column | str
     return F.concat(F.lit("@"), col(identifier), F.lit("\n"), col(seq), F.lit("\n+"), col(plus_line), F.lit("\n"), col(qual))
 
 
+#: Splits whose counts are broadcast; with more of them the counts are joined by key.
+MOST_SPLITS = 200_000
+
+
+def few(sizes: DataFrame) -> DataFrame:
+    """Marks a table of a row a split for broadcast if it has few rows."""
+    kept = sizes.persist()
+    return F.broadcast(kept) if kept.count() <= MOST_SPLITS else kept
+
+
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     """line_no (from 0) and value of a file's lines. A line's number is its rank in its partition plus the lines of the partitions before: counts are
     added up, the text is read where it lies. Files are in order of name."""
@@ -25,7 +35,7 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     sizes = lines.groupBy(*chunk).agg(F.count(F.lit(1)).alias("_n"))
     before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy(*chunk).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
     rank = F.row_number().over(Window.partitionBy(*chunk).orderBy("_id")) - 1
-    return lines.withColumn("_rank", rank).join(F.broadcast(before), chunk).select((F.col("_rank") + F.col("_before")).alias("line_no"), F.regexp_replace("value", "\r$", "").alias("value"))
+    return lines.withColumn("_rank", rank).join(few(before), chunk).select((F.col("_rank") + F.col("_before")).alias("line_no"), F.regexp_replace("value", "\r$", "").alias("value"))
 
 
 def _records(lines: DataFrame) -> DataFrame:

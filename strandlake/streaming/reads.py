@@ -1,4 +1,4 @@
-"""Reads as a stream: files of FASTQ records, one record a line of tab-separated fields, counted in micro-batches."""
+"""Reads as a stream: Parquet files of reads, as they come into a folder, counted in micro-batches."""
 
 from __future__ import annotations
 
