@@ -83,6 +83,8 @@ def shares(counts: np.ndarray, target: int = TOTAL) -> np.ndarray:
 
 #: Rows of shares that a stream's model has at most.
 MOST_ROWS = 4096
+#: Lanes that a stream has at most.
+LANES = 1024
 
 
 def _lane_grid(values: np.ndarray, lanes: int) -> np.ndarray:
@@ -126,7 +128,7 @@ def encode_symbols(symbols: np.ndarray, size: int, order: int, side: np.ndarray
         return bytes(out)
     while order > 1 and size**order * sides * size > 1 << 22:
         order -= 1
-    lanes = int(min(256, max(1, n // 2048)))
+    lanes = int(min(LANES, max(1, n // 512)))
     grid = _lane_grid(symbols, lanes)
     beside = _lane_grid(side if side is not None else np.zeros(n, np.int64), lanes)
     steps = len(grid)
@@ -191,7 +193,7 @@ def decode_symbols(r: Reader, side: np.ndarray | None = None) -> np.ndarray:
     if not n:
         return np.zeros(0, np.int64)
     size, order, sides, lanes = (r.varint() for _ in range(4))
-    if not 0 < lanes <= 256 or not 0 < size or size**order * sides * size > 1 << 24 or (side is None) != (sides == 1) or (side is not None and len(side) != n):
+    if not 0 < lanes <= LANES or not 0 < size or size**order * sides * size > 1 << 24 or (side is None) != (sides == 1) or (side is not None and len(side) != n):
         raise ValueError("the block's model is out of range")
     sent = []
     for longer in _levels(order, sides):
@@ -495,7 +497,7 @@ def decode_block(identifiers: bytes, bases: bytes, qualities: bytes, meta: bytes
 
 
 _STREAMS = ("identifiers", "bases_stream", "qualities", "meta")
-ARCHIVE = "block_id bigint, records bigint, bases bigint, text_bytes bigint, magic binary, record_nos binary, identifiers binary, bases_stream binary, qualities binary, meta binary, crc bigint"
+ARCHIVE = "block_id bigint, records bigint, pieces bigint, bases bigint, text_bytes bigint, magic binary, record_nos binary, identifiers binary, bases_stream binary, qualities binary, meta binary, crc bigint"
 
 
 _NAMES = [x.split()[0] for x in ARCHIVE.split(", ")]
@@ -528,7 +530,7 @@ def _archive_row(block: int, numbers: np.ndarray, columns: list[list[str]], opti
     coded = np.diff(numbers, prepend=0).astype("<i8").tobytes()
     size = sum(len(x) for c in columns for x in c) + 6 * len(columns[0])
     crc = zlib.crc32(coded + b"".join(streams))
-    values = [block, len(columns[0]), sum(map(len, columns[1])), size, MAGIC, zlib.compress(coded), *streams, crc]
+    values = [block, len(columns[0]), int((numbers >> 62).sum()), sum(map(len, columns[1])), size, MAGIC, zlib.compress(coded), *streams, crc]
     return pa.record_batch([pa.array([v], _KINDS[k]) for v, k in zip(values, _NAMES, strict=True)], _NAMES)
 
 
@@ -592,8 +594,11 @@ def _checked(row: dict) -> bytes:
     return numbers
 
 
-def decode_blocks(archive: DataFrame, record: str = "record_no") -> DataFrame:
-    """The reads of an archive; a block whose magic or checksum is wrong is an error. Records that were cut into pieces are put together again."""
+def decode_blocks(archive: DataFrame, record: str = "record_no", cut: bool = True) -> DataFrame:
+    """The reads of an archive; a block whose magic or checksum is wrong is an error.
+
+    Records that were cut into pieces are put together again: only blocks with pieces are shuffled. Without `cut`, records in pieces are an error.
+    """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -603,11 +608,14 @@ def decode_blocks(archive: DataFrame, record: str = "record_no") -> DataFrame:
                 yield pa.record_batch([pa.array(numbers), *(pa.array(c, pa.string()) for c in columns)], ["number", "identifier", "seq", "qual", "plus_line"])
 
     names = ["identifier", "seq", "qual", "plus_line"]
-    found = archive.mapInArrow(run, "number bigint, identifier string, seq string, qual string, plus_line string")
-    found = found.withColumns({record: F.col("number").bitwiseAND(F.lit((1 << 40) - 1)), "__piece": F.shiftright("number", 40)})
-    was_cut = F.col("number") >= F.lit(1 << 62)
-    joined = lambda c: F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("__piece", c))), lambda x: x[c]), "")
-    return found.where(~was_cut).select(record, *names).unionByName(found.where(was_cut).groupBy(record).agg(*[joined(c).alias(c) for c in names]))
+    kind = "number bigint, identifier string, seq string, qual string, plus_line string"
+    number = F.col("number").bitwiseAND(F.lit((1 << 40) - 1)).alias(record)
+    if not cut:
+        whole = F.when(F.col("number") >= F.lit(1 << 62), F.raise_error(F.lit("a record is in pieces")).cast("bigint")).otherwise(number).alias(record)
+        return archive.mapInArrow(run, kind).select(whole, *names)
+    joined = lambda c: F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(F.shiftright("number", 40).alias("piece"), c))), lambda x: x[c]), "")
+    pieces = archive.where("pieces > 0").mapInArrow(run, kind).groupBy(number).agg(*[joined(c).alias(c) for c in names])
+    return archive.where("pieces = 0").mapInArrow(run, kind).select(number, *names).unionByName(pieces)
 
 
 def decode_fasta(archive: DataFrame) -> DataFrame:

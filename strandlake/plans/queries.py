@@ -670,7 +670,7 @@ def codec_roundtrip(spark, d):
     from .codec import decode_blocks, encode_blocks
 
     rows = blocks.fixed_blocks(reads(spark, d), "read_id", BLOCK).withColumn("plus_line", F.lit(""))
-    return decode_blocks(encode_blocks(rows, "read_id"), "read_id").select("read_id", "identifier", "seq", "plus_line", "qual")
+    return decode_blocks(encode_blocks(rows, "read_id"), "read_id", cut=False).select("read_id", "identifier", "seq", "plus_line", "qual")
 
 
 @query(_with(CONTIGS_SQL) + "select doc_id as record_no, 'doc ' || doc_id as header, s as sequence from contigs")
@@ -686,7 +686,7 @@ def adaptive_roundtrip(spark, d):
     from .codec import Options, archive, decode_blocks
 
     rows = reads(spark, d).withColumn("plus_line", F.when(F.col("read_id") % 3 == 0, F.col("identifier")).otherwise(F.lit("")))
-    return decode_blocks(archive(rows, "read_id", Options("adaptive")), "read_id").select("read_id", "identifier", "seq", "plus_line", "qual")
+    return decode_blocks(archive(rows, "read_id", Options("adaptive")), "read_id", cut=False).select("read_id", "identifier", "seq", "plus_line", "qual")
 
 
 @query()
