@@ -8,6 +8,7 @@ to choose (mode "adaptive": smaller and some fifty times slower). FASTA records
 
 from __future__ import annotations
 
+import itertools
 import re
 import zlib
 from collections.abc import Iterable, Iterator
@@ -255,17 +256,21 @@ def _read_text(r: Reader, count: int) -> list[str]:
     return lines if count else []
 
 
-def _write_numbers(out: bytearray, values: np.ndarray) -> None:
-    """Signed numbers as varints, coded as bytes."""
+def _write_numbers(out: bytearray, values: Iterable[int]) -> None:
+    """Signed numbers as varints, whose bytes are coded if that is shorter."""
     raw = bytearray()
-    for v in values.tolist():
+    for v in values:
         write_varint(raw, zigzag(v))
-    out += encode_symbols(np.frombuffer(bytes(raw), np.uint8).astype(np.int64), 256, 1)
+    coded = encode_symbols(np.frombuffer(bytes(raw), np.uint8).astype(np.int64), 256, 1) if len(raw) > 32 else raw
+    out.append(len(coded) < len(raw))
+    out += coded if len(coded) < len(raw) else raw
 
 
-def _read_numbers(r: Reader, count: int) -> np.ndarray:
+def _read_numbers(r: Reader, count: int) -> list[int]:
+    if not r.take(1)[0]:
+        return [unzigzag(r.varint()) for _ in range(count)]
     raw = Reader(decode_symbols(r).astype(np.uint8).tobytes())
-    return np.array([unzigzag(raw.varint()) for _ in range(count)], np.int64)
+    return [unzigzag(raw.varint()) for _ in range(count)]
 
 
 _NUMBER = re.compile(r"[0-9]{1,18}(?![0-9])|[0-9]{19,}|[^0-9]+")
@@ -312,8 +317,8 @@ def _encode_identifiers(identifiers: list[str]) -> bytes:
         columns = np.array([numbers for (_, numbers), k in zip(found, kinds.tolist(), strict=True) if k == i], np.int64)
         for values in columns.T:
             plain, deltas = bytearray(), bytearray()
-            _write_numbers(plain, values)
-            _write_numbers(deltas, np.diff(values, prepend=0))
+            _write_numbers(plain, values.tolist())
+            _write_numbers(deltas, np.diff(values, prepend=0).tolist())
             out.append(len(deltas) < len(plain))
             out += min(deltas, plain, key=len) if len(deltas) != len(plain) else plain
     return bytes(out)
@@ -339,7 +344,7 @@ def decode_identifiers(data: bytes, count: int) -> list[str]:
         for _ in range(shape.count("\x01")):
             differences = r.take(1)[0]
             values = _read_numbers(r, n)
-            columns.append((np.cumsum(values) if differences else values).tolist())
+            columns.append(list(itertools.accumulate(values)) if differences else values)
         rows.append(iter([_fill(shape, list(x)) for x in zip(*columns, strict=True)] if columns else [shape] * n))
     return [next(rows[k]) for k in kinds.tolist()]
 
@@ -437,11 +442,10 @@ def encode_block(identifier: list[str], seq: list[str], qual: list[str], plus: l
     """The four streams of a block. Bases keep their letters; anything else than A, C, G, T is a run in the fourth stream, with its letter."""
     meta = bytearray()
     write_varint(meta, len(seq))
-    for column in (seq, qual):
-        last = 0
-        for s in column:
-            write_varint(meta, zigzag(len(s) - last))
-            last = len(s)
+    sizes = [[len(x) for x in column] for column in (seq, qual)]
+    meta.append(sizes[0] != sizes[1])
+    for column in sizes[: 1 + (sizes[0] != sizes[1])]:
+        _write_numbers(meta, np.diff(np.array(column, np.int64), prepend=0).tolist())
     some = [bool(p) for p in plus]
     write_varint(meta, int(any(some)))
     if any(some):
@@ -456,25 +460,24 @@ def encode_block(identifier: list[str], seq: list[str], qual: list[str], plus: l
     first = odd[np.concatenate([[True], (np.diff(odd) != 1) | (raw[odd[1:]] != raw[odd[:-1]])])] if len(odd) else odd
     ends = np.append(np.searchsorted(odd, first)[1:], len(odd)) if len(odd) else odd
     write_varint(meta, len(first))
-    last = 0
-    for start, length in zip(first.tolist(), np.diff(ends, prepend=0).tolist(), strict=True):
-        write_varint(meta, start - last)
-        write_varint(meta, length)
-        write_varint(meta, int(raw[start]))
-        last = start + length
+    size = np.diff(ends, prepend=0)
+    letters, which = np.unique(raw[first], return_inverse=True)
+    _write_numbers(meta, (first - np.concatenate([[0], (first + size)[:-1]])[: len(first)]).tolist())
+    _write_numbers(meta, size.tolist())
+    write_varint(meta, len(letters))
+    for letter in letters.tolist():
+        write_varint(meta, letter)
+    if len(letters) > 1:
+        meta += encode_symbols(which, len(letters), 1)
     return encode_identifiers(identifier), encode_bases(codes[codes < 4], mode, order), encode_qualities(qual), bytes(meta)
 
 
 def decode_block(identifiers: bytes, bases: bytes, qualities: bytes, meta: bytes) -> tuple[list[str], list[str], list[str], list[str]]:
     r = Reader(meta)
     n = r.varint()
-    lengths = []
-    for _ in range(2):
-        column, last = [], 0
-        for _ in range(n):
-            last += unzigzag(r.varint())
-            column.append(last)
-        lengths.append(column)
+    apart = r.take(1)[0]
+    lengths = [list(itertools.accumulate(_read_numbers(r, n))) for _ in range(1 + apart)]
+    lengths = lengths if apart else lengths * 2
     plus = [""] * n
     if r.varint():
         some = np.unpackbits(np.frombuffer(r.take(-(-n // 8)), np.uint8))[:n]
@@ -482,13 +485,16 @@ def decode_block(identifiers: bytes, bases: bytes, qualities: bytes, meta: bytes
         plus = [next(texts) if s else "" for s in some.tolist()]
     text = np.zeros(sum(lengths[0]), "<u4")
     free = np.ones(len(text), bool)
-    at = 0
-    for _ in range(r.varint()):
-        at += r.varint()
-        length = r.varint()
-        text[at : at + length] = r.varint()
-        free[at : at + length] = False
-        at += length
+    count = r.varint()
+    gaps, sizes = np.array(_read_numbers(r, count), np.int64), np.array(_read_numbers(r, count), np.int64)
+    letters = np.array([r.varint() for _ in range(r.varint())], np.int64)
+    which = decode_symbols(r) if len(letters) > 1 else np.zeros(count, np.int64)
+    start = np.cumsum(gaps) + np.cumsum(sizes) - sizes
+    places = np.repeat(start - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
+    if len(which) != count or (len(places) and (places.min() < 0 or places.max() >= len(text))):
+        raise ValueError("the runs don't fit the sequences")
+    text[places] = np.repeat(letters[which], sizes) if count else 0
+    free[places] = False
     codes = decode_bases(bases)
     if len(codes) != free.sum():
         raise ValueError("a stream has another number of bases")
