@@ -58,6 +58,14 @@ def run_contexts(runs: DataFrame, order: int, record: str, *partition: str) -> D
     return runs.withColumns(lags).groupBy("bin", *lags, F.col("ch").alias("q")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def trusted(contexts: DataFrame, gates: tuple[int, int, int] = (8, 16, 16)) -> DataFrame:
+    """trusted: the longest order (3 to 0) whose context has a total at its gate or above, for contexts (p1, p2, p3, n); totals of shorter contexts add up longer ones'."""
+    total = lambda *keys: F.sum("n").over(Window.partitionBy(*keys))
+    sums = contexts.withColumns({"_t1": total("p1"), "_t2": total("p1", "p2"), "_t3": total("p1", "p2", "p3")})
+    order = F.when(F.col("_t3") >= gates[2], 3).when(F.col("_t2") >= gates[1], 2).when(F.col("_t1") >= gates[0], 1).otherwise(0)
+    return sums.withColumn("trusted", order.cast("bigint")).drop("_t1", "_t2", "_t3")
+
+
 def blend(after: DataFrame, whole: DataFrame, ctx: str, weights: tuple[float, float], thresholds: tuple[int, int]) -> DataFrame:
     """ctx, q, p for every context of `after` (ctx, q, n) and every symbol of `whole` (q, n): their distributions, each weighted by weights and ln(total / threshold + 1).
 

@@ -544,6 +544,23 @@ def ppm_blend(spark, d):
     return statistics.blend(after, whole, "p1", (2.0, 1.0), (8, 1))
 
 
+_TRUST = """lagged as (select ch, block_id, lag(ch) over w as p1, lag(ch, 2) over w as p2, lag(ch, 3) over w as p3 from bins window w as (partition by block_id order by read_id, run_no)),
+totals as (select count(*) over (partition by p1) as t1, count(*) over (partition by p1, p2) as t2, count(*) over (partition by p1, p2, p3) as t3 from lagged where p3 is not null)"""
+
+
+@query(_with(_RUNS, _BINS_SQL, _TRUST) + "select case when t3 >= 16 then 3 when t2 >= 16 then 2 when t1 >= 8 then 1 else 0 end::bigint as trusted, count(*) as n from totals group by 1")
+def qual_trusted_order(spark, d):
+    contexts = statistics.run_contexts(_run_bins(spark, d), 3, "read_id", "block_id").where("p3 is not null").groupBy("p1", "p2", "p3").agg(F.sum("n").alias("n"))
+    return statistics.trusted(contexts).groupBy("trusted").agg(F.sum("n").alias("n"))
+
+
+@query(_with(READS_SQL, _QUAL) + "select q, count(*) as n from q group by q")
+def qual_index_roundtrip(spark, d):
+    index = statistics.alphabet(_hist(spark, d).select("q"))
+    coded = statistics.quality_chars(reads(spark, d)).join(F.broadcast(index), "q").select("idx")
+    return coded.groupBy("idx").agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(index), "idx").select("q", "n")
+
+
 # --- repeats
 
 _PREV = f"""prev as (select read_id, pos, ctx, next, {', '.join(f'lag(read_id, {i}) over w as prev{i}_read, lag(pos, {i}) over w as prev{i}_pos, lag(next, {i}) over w as prev{i}_next' for i in (1, 2, 3))}
@@ -665,6 +682,21 @@ def concat_sequences(spark, d):
     return rows.groupBy("block_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("doc_id", "s"))), lambda x: x["s"]), "").alias("s"))
 
 
+@query(_with(CONTIGS_SQL) + "select doc_id as record_no, coalesce(sum(length(s)) over (order by doc_id rows between unbounded preceding and 1 preceding), 0)::bigint as start, regexp_replace(s, '[^ACGT]', 'A', 'g') as sequence from contigs")
+def sequence_offsets(spark, d):
+    from ..sources.fasta import sequence_only
+
+    return sequence_only(contigs(spark, d).select(F.col("doc_id").alias("record_no"), F.regexp_replace("s", "[^ACGT]", "A").alias("sequence")))
+
+
+@query(_with(CONTIGS_SQL) + "select doc_id, s from contigs")
+def split_by_lengths(spark, d):
+    rows = blocks.fixed_blocks(contigs(spark, d), "doc_id", 100)
+    joined = rows.groupBy("block_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("doc_id", "s"))), lambda x: x["s"]), "").alias("whole"))
+    places = runs.boundaries(rows.select("block_id", "doc_id", F.length("s").alias("size")), "size", "doc_id", "block_id")
+    return places.join(joined, "block_id").select("doc_id", F.substr("whole", (F.col("first") + 1).cast("int"), (F.col("last") - F.col("first")).cast("int")).alias("s"))
+
+
 @query(_with(READS_SQL) + "select read_id, identifier, seq, '' as plus_line, qual from reads")
 def codec_roundtrip(spark, d):
     from .codec import decode_blocks, encode_blocks
