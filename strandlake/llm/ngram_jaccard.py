@@ -108,6 +108,7 @@ def _bucket_edges(paths: Paths) -> Callable[[Iterator[pa.RecordBatch]], Iterator
     least = paths.threshold - paths.slack
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for table in grouped(batches, 1):
             bucket, digest, n = (table.column(i).to_numpy() for i in range(3))
             sketch = np.frombuffer(b"".join(table.column(3).to_pylist()), np.uint8).reshape(-1, paths.sketch)
@@ -235,6 +236,7 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     nameless = rows.where("_id is null").drop("_id").join(names.where("_id is null").drop("_id"), "_key").select(*held).dropDuplicates(["node", "_text"])
 
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             for part in slices(batch, "_text"):
                 h, off = shingle_sets(part, 0, paths.words)
@@ -246,6 +248,7 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     paired = _block_pairs(spelled, "root", "digest").select("root", "pair", "digest", "n", "members", "block", "shingles")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for table in grouped(batches, 2):
             digest = table.column("digest").to_numpy()
             at = bounds(table.column(0).to_numpy(), table.column(1).to_numpy())

@@ -235,6 +235,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         return found["id"], start, start + found["span"].astype(np.int64) + length
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for packet in grouped(batches, 1):
             held: list[np.ndarray] = []
             for settled, blob in zip(packet.column(1).to_pylist(), (x for chunk in packet.column(2).chunks for x in chunk), strict=True):
@@ -281,6 +282,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Each wanted sample with its surroundings: reach bytes before it, nearest first, and length bytes from it on, filled up with zeros."""
+        release()
         for part in _unpacked(batches, 1 << 20):
             data, off = utf8(part.column(1))
             asked = part.column(2)
@@ -340,6 +342,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     fetched = whole.select("doc", "size", "packed", "asked").mapInArrow(fetch, "bucket long, gram long, doc long, at long, low int, high int, bytes binary")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for table in grouped(batches, 1):
             done = pc.is_null(table.column("bytes"))
             if pc.any(done).as_py():
@@ -438,6 +441,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     schema = schema.add(text_col, "string") if as_text else schema
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             for part in slices(batch, "__sl_text"):
                 data, off = utf8(part.column(len(names)))
