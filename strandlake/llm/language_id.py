@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructType
 
-from .common import broadcast_if_small, release, resident, small_batches
+from .common import broadcast_if_small, release, resident, slices, small_batches
 
 LETTERS = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
@@ -40,7 +40,7 @@ def _grams(word: str, n: int) -> list[str]:
 
 
 class Scorer(dict):
-    """word -> row of `table`, which holds its log frequencies; a missing word is scored on first sight."""
+    """word -> row of `table`, which holds its log frequencies; new words are scored many at a time."""
 
     def __init__(self, model: LanguageModel):
         super().__init__()
@@ -51,34 +51,64 @@ class Scorer(dict):
             self.row[n] = {x: i for i, x in enumerate(strings)}
             self.log[n] = np.log((counts + 0.5) / (counts.sum(0) + 0.5 * len(counts))).astype(np.float32)
 
-    def score(self, word: str) -> np.ndarray:
-        if (at := self.row.get(0, {}).get(word)) is not None:
-            return self.log[0][at]
+    def scores(self, words: list[str]) -> np.ndarray:
+        """A row for each word: its own log frequencies if it is known, else the mean of those of its longest known n-grams, else zeros."""
+        out = np.zeros((len(words), self.table.shape[1]))
+        known = self.row.get(0, {})
+        at = np.array([known.get(w, -1) for w in words], np.int64)
+        if len(known):
+            out[at >= 0] = self.log[0][at[at >= 0]]
+        rest = np.flatnonzero(at < 0).tolist()
         for n in ORDERS:
-            row = self.row.get(n, {})
-            if seen := [at for g in _grams(word, n) if (at := row.get(g)) is not None]:
-                return self.log[n][seen].mean(0, dtype=np.float64)
-        return np.zeros(self.table.shape[1])
-
-    def __missing__(self, word: str) -> int:
-        at = len(self)
-        self.table[at] = self.score(word)
-        self[word] = at
-        return at
+            if n not in self.row or not rest:
+                continue
+            get, owner, rows = self.row[n].get, [], []
+            for i in rest:
+                padded = f"^{words[i]}$"
+                for j in range(len(padded) - n + 1):
+                    if (at_ := get(padded[j : j + n])) is not None:
+                        owner.append(i)
+                        rows.append(at_)
+            if owner:
+                seen, first, many = np.unique(np.array(owner, np.int64), return_index=True, return_counts=True)
+                out[seen] = np.add.reduceat(self.log[n][rows].astype(np.float64), first, 0) / many[:, None]
+                done = set(seen.tolist())
+                rest = [i for i in rest if i not in done]
+        return out
+
+    def learn(self, words: set[str]) -> None:
+        """Scores the words that have no row yet; if there is too little room, older ones lose theirs."""
+        new = list(words.difference(self))
+        if len(self) + len(new) > CACHE:
+            self.clear()
+            new = list(words)
+        self.table[len(self) : len(self) + len(new)] = self.scores(new)
+        self.update(zip(new, range(len(self), len(self) + len(new)), strict=True))
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        """The likeliest language and its posterior probability under equal priors; ties go to the first in order of name."""
-        words = LETTERS.findall(text.lower()) if text else []
-        if not self.model.langs or not any(any(map(str.isalpha, w)) for w in words):
-            return UNKNOWN, 0.0
-        total = np.zeros(self.table.shape[1])
-        for i in range(0, len(words), 50_000):
-            if len(self) > CACHE - 50_001:
-                self.clear()
-            total += self.table[[self[w] for w in words[i : i + 50_000]]].sum(0, dtype=np.float64)
-        p = np.exp(total - total.max())
-        best = int(total.argmax())
-        return self.model.langs[best], float(p[best] / p.sum())
+        return self.predict_all([text])[0]
+
+    def predict_all(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        """The likeliest language of each text and its posterior probability under equal priors; ties go to the first in order of name. Long texts are scored in pieces."""
+        lines = [LETTERS.findall(text.lower()) if text else [] for text in texts]
+        together = sum(map(len, lines)) <= CACHE
+        if together:
+            self.learn(set().union(*lines))
+        out = []
+        for words in lines:
+            if not self.model.langs or not any(any(map(str.isalpha, w)) for w in words):
+                out.append((UNKNOWN, 0.0))
+                continue
+            total = np.zeros(self.table.shape[1])
+            for i in range(0, len(words), 50_000):
+                part = words[i : i + 50_000]
+                if not together:
+                    self.learn(set(part))
+                total += self.table[list(map(self.__getitem__, part))].sum(0, dtype=np.float64)
+            p = np.exp(total - total.max())
+            best = int(total.argmax())
+            out.append((self.model.langs[best], float(p[best] / p.sum())))
+        return out
 
 
 def scorer_of(model: LanguageModel) -> Scorer:
@@ -173,9 +203,10 @@ def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> D
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = scorer_of(shipped.value)
         for batch in batches:
-            found = [scorer.predict(x.as_py()) for x in batch.column(at)]
-            columns = [batch.column(i) for i in keep] + [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())]
-            yield pa.record_batch(columns, schema.names)
+            for part in slices(batch, text_col):
+                found = scorer.predict_all(part.column(at).to_pylist())
+                columns = [part.column(i) for i in keep] + [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())]
+                yield pa.record_batch(columns, schema.names)
 
     return docs.mapInArrow(label, schema)
 
