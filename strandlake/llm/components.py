@@ -21,7 +21,9 @@ def components(edges: DataFrame, most_rounds: int = 60, hot_rows: int = HOT_ROWS
     last, spread = None, {"by_key_rows": labels.count(), "hot_rows": hot_rows, "most_broadcast": most_broadcast}
     for _ in range(most_rounds):
         seen = skew_join(both, labels.withColumnRenamed("node", "a"), "a", **spread).groupBy(F.col("b").alias("node")).agg(F.min("root").alias("near"))
-        moved = cut(labels.join(seen, "node").select("node", F.least("root", "near").alias("root")))
+        moved = labels.join(seen, "node").select("node", F.least("root", "near").alias("root"))
+        if spread["by_key_rows"] > most_broadcast:  # it is read three times, or twice and cheaply
+            moved = cut(moved)
         up = moved.select(F.col("node").alias("root"), F.col("root").alias("above"))
         labels = cut(skew_join(moved, up, "root", **spread).select("node", F.least("root", "above").alias("root")))
         now = labels.agg(F.sum(F.col("root").cast("decimal(38,0)")), F.count(F.lit(1))).first()
