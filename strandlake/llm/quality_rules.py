@@ -42,10 +42,9 @@ def _window(words: str, i: Column) -> Column:
     return F.xxhash64(*(F.get(words, i + j) for j in range(3)))
 
 
-def _placed_windows(words: str, keys: str) -> Column:
+def _placed_windows(keys: str) -> Column:
     """The hashes of 3-word windows with their places, in order; null where no two are equal, which spares most texts the sort."""
-    places = F.sequence(F.lit(0), F.size(words) - 3)
-    placed = F.array_sort(F.transform(places, lambda i: F.struct(_window(words, i).alias("k"), i.alias("i"))))
+    placed = F.array_sort(F.transform(keys, lambda k, i: F.struct(k.alias("k"), i.alias("i"))))
     return F.when(F.size(F.array_distinct(keys)) < F.size(keys), placed)
 
 
@@ -76,20 +75,24 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     )
 
     split = split.withColumn("_keys", F.when(F.size("_words") >= 3, F.transform(F.sequence(F.lit(0), F.size("_words") - 3), lambda i: _window("_words", i))))
-    split = split.withColumn("_placed", _placed_windows("_words", "_keys"))
+    split = split.withColumn("_placed", _placed_windows("_keys"))
 
     def chars(line: Column) -> Column:
         return F.char_length(F.regexp_replace(line, WHITE, ""))
 
-    def bad(line: Column) -> Column:
+    def measured(line: Column) -> Column:
+        """What the rules ask of a line, each counted once."""
+        own = F.filter(F.split(line, WHITE), lambda w: w != "")
         marks = F.char_length(F.regexp_replace(line, f"[^{_in_class(rules.marks)}]+", ""))
-        bare = F.size(F.filter(F.split(line, WHITE), lambda w: w.isin("|", "»", "›", "•", "·", ">", "/")))
-        count = F.size(F.filter(F.split(line, WHITE), lambda w: w != ""))
+        return F.struct(line.alias("line"), own.alias("words"), marks.alias("marks"))
+
+    def bad(x: Column) -> Column:
+        bare = F.size(F.filter(x["words"], lambda w: w.isin("|", "»", "›", "•", "·", ">", "/")))
         return (
-            (marks * 100 > chars(line) * rules.max_marks_percent)
+            (x["marks"] * 100 > F.char_length(F.array_join(x["words"], "")) * rules.max_marks_percent)
             | (bare >= rules.min_bars)
-            | (bare * 100 > count * rules.max_bars_percent)
-            | line.rlike(rules.boilerplate)
+            | (bare * 100 > F.size(x["words"]) * rules.max_bars_percent)
+            | x["line"].rlike(rules.boilerplate)
         )
 
     counted = split.select(
@@ -100,7 +103,7 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
         _repeat_words("_placed").alias("n_repeat_words"),
         F.size("_lines").cast("long").alias("n_lines"),
-        F.filter("_lines", lambda line: ~bad(line)).alias("_good"),
+        F.transform(F.filter(F.transform("_lines", measured), lambda x: ~bad(x)), lambda x: x["line"]).alias("_good"),
     )
     judged = counted.select(
         "*",
