@@ -17,6 +17,7 @@ from typing import TypeVar
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -88,8 +89,33 @@ def store(df: DataFrame) -> DataFrame:
 
 def broadcast_if_small(df: DataFrame, rows: int, row_bytes: int = 64) -> DataFrame:
     """Marks df for broadcast if its counted rows, at row_bytes each, stay within the bounds above."""
-    small = rows <= BROADCAST_ROWS and rows * row_bytes <= BROADCAST_BYTES
-    return F.broadcast(df) if small else df
+    return F.broadcast(df) if is_small(rows, row_bytes) else df
+
+
+def is_small(rows: int, row_bytes: int = 64) -> bool:
+    return rows <= BROADCAST_ROWS and rows * row_bytes <= BROADCAST_BYTES
+
+
+def few_keys(df: DataFrame, key: str) -> Broadcast | None:
+    """The integers in a column of df, which has a row for each, sorted and sent to all workers; None if they are too many for that."""
+    if df.count() * 8 > BROADCAST_BYTES:
+        return None
+    found = df.select(F.col(key).cast("long")).toArrow().column(0).to_numpy()
+    return df.sparkSession.sparkContext.broadcast(np.sort(found))
+
+
+def picked(batches: Iterator[pa.RecordBatch], column: int, keys: Broadcast | None, inside: bool = True) -> Iterator[pa.RecordBatch]:
+    """The rows whose entry in a column is one of few_keys, or with inside=False all others (nulls too); all rows if keys is None."""
+    for batch in batches:
+        if keys is None:
+            yield batch
+            continue
+        own = pc.fill_null(batch.column(column), 0).to_numpy(zero_copy_only=False)
+        there = np.zeros(len(own), bool)
+        if len(keys.value):
+            there = keys.value[np.minimum(np.searchsorted(keys.value, own), len(keys.value) - 1)] == own
+        there &= batch.column(column).is_valid().to_numpy(zero_copy_only=False)
+        yield batch.filter(pa.array(there if inside else ~there))
 
 
 #: Rows of one key from which a join deals them by itself.

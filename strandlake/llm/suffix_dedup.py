@@ -3,7 +3,8 @@
 Texts don't line up, so the cover can't be positions modulo a period: of every `length - gram + 1` successive positions the one whose gram hashes lowest is
 sampled. Equal strings thus hold equal samples at equal offsets, and a string is known by its sample's suffix and the few bytes before it, as in the merge step of
 the difference-cover algorithm. Samples are sorted by gram over the cluster; those with an equal gram and equal surroundings are settled there.
-Where surroundings differ, sampled suffixes are sorted by triples of words, whose names are sorted by triples again until `length` bytes are
+Short grams recur by chance, the more the larger the input. Strings whose offset is at most half of the greatest share the bytes from the sample on, all others those about it:
+only samples that have such a core of some 60 bytes in common with another's fetch their bytes. There, sampled suffixes are sorted by triples of words, whose names are sorted by triples again until `length` bytes are
 named; so are the reversed prefixes; adjacent ones are compared, and the strings of each offset fall into classes by both ranks.
 """
 
@@ -18,10 +19,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Hashes, U, bounds, broadcast_if_small, grouped, mix, release, shuffle_partitions, slices, small_batches, store, utf8
+from .common import Hashes, U, bounds, broadcast_if_small, few_keys, grouped, is_small, mix, picked, release, shuffle_partitions, slices, small_batches, store, utf8
 
 LENGTH, GRAM = 100, 20
-#: Differing surroundings of one gram from which each string of them becomes a group of its own, spread by its hash.
+#: Samples of one core with differing surroundings from which each string of them becomes a group of its own, spread by its hash.
 HOT = 1000
 #: Bytes of text for each group of samples that a task holds at once; there are as many groups as the input needs.
 GROUP_BYTES = 48 << 20
@@ -88,7 +89,8 @@ def samples(data: np.ndarray, off: np.ndarray, length: int = LENGTH, gram: int =
     return text, at, start[begin], start[last], hashes[at]
 
 
-_RECORD = np.dtype([("gram", "<u8"), ("around", "<u8"), ("id", "<i8"), ("at", "<u4"), ("before", "u1"), ("span", "u1")])
+#: near, far: hashes of the bytes common to all strings whose offset (bytes before the sample) is at most half of the greatest, and to all others.
+_RECORD = np.dtype([("gram", "<u8"), ("around", "<u8"), ("id", "<i8"), ("at", "<u4"), ("near", "<u4"), ("far", "<u4"), ("before", "u1"), ("span", "u1")])
 
 
 def pack(found: np.ndarray) -> bytes:
@@ -107,6 +109,11 @@ def unpack(blob: pa.Scalar) -> np.ndarray:
     return found
 
 
+def grams_of(blob: pa.Scalar) -> np.ndarray:
+    raw = blob.as_buffer()
+    return np.frombuffer(raw, _RECORD["gram"], raw.size // _RECORD.itemsize)
+
+
 def name_triples(words: np.ndarray, group: np.ndarray) -> np.ndarray:
     """Ranks of the rows of `words` (columns of equal width, most significant first) within the order of (group, row): triples of columns get
     names in sorted order, the names form triples again, until one name is left. Equal rows of a group share a rank."""
@@ -190,6 +197,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("_text"))
     groups = max(parts, -(-int(rows.agg(F.sum(F.octet_length("_text"))).first()[0] or 0) // group_bytes))
     reach = length - gram
+    half = reach // 2
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
@@ -219,7 +227,11 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 data, off = utf8(part.column(1))
                 text, at, first, last, grams = samples(data, off, length, gram)
                 found = np.zeros(len(text), _RECORD)
-                found["gram"], found["around"] = grams, Hashes(data).of(first, last + length) + (at - first).astype(U)
+                hashes = Hashes(data)
+                found["gram"], found["around"] = grams, hashes.of(first, last + length) + (at - first).astype(U)
+                has_near, has_far = at - last <= half, at - first > half
+                found["near"][has_near] = hashes.of(at[has_near], at[has_near] + length - half) >> U(32)
+                found["far"][has_far] = hashes.of(at[has_far] - half - 1, at[has_far] + gram) >> U(32)
                 found["id"] = part.column(0).to_numpy(zero_copy_only=False)[text]
                 found["at"], found["before"], found["span"] = at - off[text], at - first, last - first
                 held.append(found)
@@ -237,46 +249,54 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
         for packet in grouped(batches, 1):
-            held: list[np.ndarray] = []
+            held: list[pa.Scalar] = []
             for settled, blob in zip(packet.column(1).to_pylist(), (x for chunk in packet.column(2).chunks for x in chunk), strict=True):
                 if settled:
                     doc, start, stop = spans_of(unpack(blob))
                     yield _span_batch(doc, start, stop, np.full(len(doc), _SETTLED))
                 else:
-                    held.append(unpack(blob))
-            if not held:
+                    held.append(blob)
+            # most grams are alone: they are told by their column before records are put together
+            grams = np.sort(np.concatenate([np.zeros(0, U), *map(grams_of, held)]))
+            grams = np.unique(grams[1:][grams[1:] == grams[:-1]])
+            if not len(grams):
                 continue
+            held = [x[grams[np.minimum(np.searchsorted(grams, x["gram"]), len(grams) - 1)] == x["gram"]] for x in map(unpack, held)]
             found = np.concatenate(held)
-            del packet, held
-            found = found[np.argsort(found["gram"], kind="stable")]
-            alone = np.ones(len(found), bool)
-            same = found["gram"][1:] == found["gram"][:-1]
-            alone[1:] &= ~same
-            alone[:-1] &= ~same
-            found = found[~alone]
-            if not len(found):
-                continue
+            del packet, held, grams
             found = found[np.lexsort((found["at"], found["id"], found["around"], found["gram"]))]
             new_gram = np.ones(len(found), bool)
             new_gram[1:] = found["gram"][1:] != found["gram"][:-1]
             again = np.zeros(len(found), bool)
             again[1:] = ~new_gram[1:] & (found["around"][1:] == found["around"][:-1])
-            which = np.cumsum(new_gram) - 1
-            kinds = np.bincount(which, ~again)[which]
-            what = np.where(again, _SETTLED, np.where(kinds > hot, _WANTED_HOT, np.where(kinds > 1, _WANTED, -1)))
             # rows of one id at one position tie
             tie = np.zeros(len(found), bool)
             tie[1:] = again[1:] & (found["id"][1:] == found["id"][:-1]) & (found["at"][1:] == found["at"][:-1])
-            out = (what >= 0) & ~tie
-            doc, start, stop = spans_of(found[out])
-            gap = found["before"][out].astype(np.int64) << 32
-            wanted = what[out] != _SETTLED
-            yield _span_batch(doc, np.where(wanted, start | gap << 8, start), stop, what[out])
+            doc, start, stop = spans_of(found[again & ~tie])
+            yield _span_batch(doc, start, stop, np.full(len(doc), _SETTLED))
+            # of the others those whose strings of near or far offsets may equal another's: all such strings hold the same `near` or `far` bytes
+            found = found[~again]
+            high = found["before"].astype(np.int64)
+            low = high - found["span"]
+            for core, mine, least, most in (("near", low <= half, low, np.minimum(high, half)), ("far", high > half, np.maximum(low, half + 1), high)):
+                k = np.flatnonzero(mine)
+                k = k[np.lexsort((found[core][k], found["gram"][k]))]
+                edge = bounds(found["gram"][k], found[core][k])
+                kinds = np.repeat(np.diff(edge), np.diff(edge))
+                k, kinds = k[kinds > 1], kinds[kinds > 1]
+                at, least, most = found["at"][k].astype(np.int64), least[k], most[k]
+                yield _span_batch(found["id"][k], at - most | most << 40, at - least + length, np.where(kinds > hot, _WANTED_HOT, _WANTED))
 
     first = store(packets.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(settle, _SPANS))
     wanted = first.where(F.col("what") != _SETTLED)
     asked = store(wanted.groupBy("doc").agg(F.collect_list(F.struct("start", "stop", "what")).alias("asked")))
-    packed = rows.where("doc is not null").mapInArrow(_packed, "doc long, size long, packed binary")
+    ids = few_keys(asked, "doc")
+
+    def pack_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
+        return _packed(picked(batches, 0, ids))
+
+    packed = rows.where("doc is not null").mapInArrow(pack_texts, "doc long, size long, packed binary")
     whole = packed.join(asked.hint("merge"), "doc")
     wide = reach + length
 
@@ -306,10 +326,13 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 rows_ = np.zeros((len(at[s]), wide), np.uint8)
                 rows_[:, :reach] = np.where(left <= before[s][:, None], data[np.maximum(a - left, 0)], 0)
                 rows_[:, reach:] = np.where(right < size[:, None], data[np.minimum(a + right, len(data) - 1)], 0)
-                grams = Hashes(rows_.ravel()).of(np.arange(len(rows_)) * wide + reach, np.arange(len(rows_)) * wide + reach + gram)
+                # grouped by the bytes that all strings of near or far offsets hold
+                hashes, row = Hashes(rows_.ravel()), np.arange(len(rows_)) * wide
+                far = (before - span)[s] > half
+                cores = np.where(far, mix(hashes.of(row, row + half + 1)) ^ hashes.of(row + reach, row + reach + gram), hashes.of(row + reach, row + wide - half))
                 hot_ = what[s] == _WANTED_HOT
-                out = [(grams[~hot_], ids[s][~hot_], at[s][~hot_], (before - span)[s][~hot_], before[s][~hot_], rows_[~hot_])]
-                # strings of hot grams become samples of one offset each, grouped by their own hash; of equal ones here only the earliest goes on, the others are settled
+                out = [(cores[~hot_], ids[s][~hot_], at[s][~hot_], (before - span)[s][~hot_], before[s][~hot_], rows_[~hot_])]
+                # strings of hot cores become samples of one offset each, grouped by their own hash; of equal ones here only the earliest goes on, the others are settled
                 least, most = np.full(len(hot_), -1), np.full(len(hot_), -1)
                 for offset in range(reach + 1) if hot_.any() else ():
                     k = np.flatnonzero(hot_ & ((before - span)[s] <= offset) & (offset <= before[s]))
@@ -327,7 +350,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                         k, own, h = k[~again], own[~again], h[~again]
                         out.append((h, ids[s][k], at[s][k], np.full(len(k), offset), np.full(len(k), offset), own))
                 hit = np.flatnonzero(most >= 0)
-                out.append((grams[hit], ids[s][hit], at[s][hit], least[hit], most[hit], None))
+                out.append((cores[hit], ids[s][hit], at[s][hit], least[hit], most[hit], None))
                 for found in out:
                     if len(found[0]):
                         yield travelling(*found)
@@ -435,7 +458,14 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     names = [c for c in docs.columns if c not in new and c != text_col]
     rows = docs.select(*names, F.col(id_col).cast("long").alias("__sl_doc"), F.col(text_col).alias("__sl_text"))
     spans = by_doc.withColumnRenamed("doc", "__sl_doc")
-    joined = rows.join(broadcast_if_small(spans, max(size[0], size[1] or 0), 32), "__sl_doc", "left").select(*names, "__sl_text", "__sl_spans")
+    entries = max(size[0], size[1] or 0)
+    ids = None if is_small(entries, 32) else few_keys(by_doc, "doc")
+    if ids is not None:  # texts without a span need not move
+        at, kind = len(names), rows.schema
+        moved = rows.where("__sl_doc is not null").mapInArrow(lambda batches: picked(batches, at, ids), kind)
+        joined = moved.join(spans, "__sl_doc").select(*names, "__sl_text", "__sl_spans")
+    else:
+        joined = rows.join(broadcast_if_small(spans, entries, 32), "__sl_doc", "left").select(*names, "__sl_text", "__sl_spans")
     out = [*docs.select(*names).columns, *new, *[text_col] * as_text]
     schema = docs.select(*names).schema.add("n_bytes", "long").add("n_removed", "long").add("n_spans", "long").add("kept_sha256", "string")
     schema = schema.add(text_col, "string") if as_text else schema
@@ -452,4 +482,12 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                     columns.append(pa.array([f[2].decode("utf-8", "ignore") for f in found], pa.string()))
                 yield pa.record_batch(columns, out)
 
-    return joined.mapInArrow(remove, schema)
+    if ids is None:
+        return joined.mapInArrow(remove, schema)
+    still = rows.withColumn("__sl_spans", F.lit(None).cast(spans.schema["__sl_spans"].dataType))
+
+    def stay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in picked(batches, at, ids, inside=False):
+            yield pa.RecordBatch.from_arrays([c for i, c in enumerate(batch.columns) if i != at], [*names, "__sl_text", "__sl_spans"])
+
+    return joined.mapInArrow(remove, schema).unionByName(still.mapInArrow(lambda batches: remove(stay(batches)), schema))

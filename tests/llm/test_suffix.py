@@ -5,6 +5,8 @@ import hashlib
 import numpy as np
 import pytest
 
+from strandlake.llm import common
+from strandlake.llm import suffix_dedup as module
 from strandlake.llm.suffix_dedup import repeated_spans, suffix_dedup
 
 
@@ -58,3 +60,25 @@ def test_null_ids_and_empty_tables(spark):
     got = sorted((r["doc_id"] or 0, r["n_removed"], r["text"] == text) for r in suffix_dedup(docs).collect())
     assert got == [(0, 0, True), (0, 0, True), (1, 0, True), (2, len(text), False), (3, 0, False)]
     assert suffix_dedup(docs.where("false")).collect() == []
+
+
+def test_grams_that_recur_by_chance_fetch_no_bytes(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    words = [f"word{i:02d}" for i in range(12)]
+    texts = [" ".join(words[x] for x in rng.integers(0, 12, 150)) for _ in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    stored = []
+    monkeypatch.setattr(module, "store", lambda df: stored.append(df.localCheckpoint()) or stored[-1])
+    assert repeated_spans(docs).collect() == []
+    assert stored[0].where(f"what != {module._SETTLED}").count() == 0
+
+
+@pytest.mark.parametrize("most_bytes", [48 << 20, 0])
+def test_texts_without_spans_stay(spark, monkeypatch, most_bytes):
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(common, "BROADCAST_BYTES", most_bytes)
+    rows = [*made(), (None, "x" * 300), (-1, None)]
+    docs = spark.createDataFrame([(t, i) for i, t in rows], "text string, doc_id long").repartition(5)
+    got = sorted((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"], r["text"]) for r in suffix_dedup(docs).where("doc_id is not null").collect())
+    assert got == brute([r for r in rows if r[0] is not None])
+    assert [(r["n_removed"], r["text"]) for r in suffix_dedup(docs).where("doc_id is null").collect()] == [(0, "x" * 300)]
