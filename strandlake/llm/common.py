@@ -194,8 +194,11 @@ def resident(key: object, make: Callable[[], T]) -> T:
 
 
 def _libc_trim() -> Callable[[int], int] | None:
+    """The C library's malloc_trim. Arrays from 4 MB on get pages of their own, which go back when freed: left alone, glibc raises that bound up to 32 MB."""
     try:
-        return ctypes.CDLL("libc.so.6").malloc_trim
+        libc = ctypes.CDLL("libc.so.6")
+        libc.mallopt(-3, 4 << 20)  # M_MMAP_THRESHOLD
+        return libc.malloc_trim
     except (OSError, AttributeError):  # another C library
         return None
 
@@ -208,11 +211,25 @@ def release() -> None:
     if _resident:
         _resident.clear()
         gc.collect()
+    _tables.clear()
     pa.default_memory_pool().release_unused()
     if _trim is not None:
         _trim(0)
 
 
+def tidy(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """work with release() before it and after: a worker that waits for its next task, of another operator too, holds nothing."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
+        try:
+            yield from work(batches)
+        finally:
+            release()
+
+    return run
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser (multiply and xor-shift)."""
     x = x ^ (x >> U(30))

@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Hashes, U, bounds, broadcast_if_small, few_keys, grouped, is_small, mix, picked, release, shuffle_partitions, slices, small_batches, store, utf8
+from .common import Hashes, U, bounds, broadcast_if_small, few_keys, grouped, is_small, mix, picked, shuffle_partitions, slices, small_batches, store, tidy, utf8
 
 LENGTH, GRAM = 100, 20
 #: Samples of one core with differing surroundings from which each string of them becomes a group of its own, spread by its hash.
@@ -200,7 +200,6 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     half = reach // 2
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        release()
         held: list[np.ndarray] = []
 
         def flush() -> Iterator[pa.RecordBatch]:
@@ -240,14 +239,13 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         if held:
             yield from flush()
 
-    packets = rows.where("doc is not null").mapInArrow(sample, "bucket long, settled boolean, records binary")
+    packets = rows.where("doc is not null").mapInArrow(tidy(sample), "bucket long, settled boolean, records binary")
 
     def spans_of(found: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         start = found["at"].astype(np.int64) - found["before"]
         return found["id"], start, start + found["span"].astype(np.int64) + length
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        release()
         for packet in grouped(batches, 1):
             held: list[pa.Scalar] = []
             for settled, blob in zip(packet.column(1).to_pylist(), (x for chunk in packet.column(2).chunks for x in chunk), strict=True):
@@ -287,22 +285,20 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 at, least, most = found["at"][k].astype(np.int64), least[k], most[k]
                 yield _span_batch(found["id"][k], at - most | most << 40, at - least + length, np.where(kinds > hot, _WANTED_HOT, _WANTED))
 
-    first = store(packets.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(settle, _SPANS))
+    first = store(packets.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(tidy(settle), _SPANS))
     wanted = first.where(F.col("what") != _SETTLED)
     asked = store(wanted.groupBy("doc").agg(F.collect_list(F.struct("start", "stop", "what")).alias("asked")))
     ids = few_keys(asked, "doc")
 
     def pack_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        release()
         return _packed(picked(batches, 0, ids))
 
-    packed = rows.where("doc is not null").mapInArrow(pack_texts, "doc long, size long, packed binary")
+    packed = rows.where("doc is not null").mapInArrow(tidy(pack_texts), "doc long, size long, packed binary")
     whole = packed.join(asked.hint("merge"), "doc")
     wide = reach + length
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Each wanted sample with its surroundings: reach bytes before it, nearest first, and length bytes from it on, filled up with zeros."""
-        release()
         for part in _unpacked(batches, 1 << 20):
             data, off = utf8(part.column(1))
             asked = part.column(2)
@@ -362,10 +358,9 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         columns = [pa.array(bucket), pa.array(g.astype(np.int64)), pa.array(doc), pa.array(pos), *(pa.array(x.astype(np.int32)) for x in (low, high)), blob]
         return pa.record_batch(columns, ["bucket", "gram", "doc", "at", "low", "high", "bytes"])
 
-    fetched = whole.select("doc", "size", "packed", "asked").mapInArrow(fetch, "bucket long, gram long, doc long, at long, low int, high int, bytes binary")
+    fetched = whole.select("doc", "size", "packed", "asked").mapInArrow(tidy(fetch), "bucket long, gram long, doc long, at long, low int, high int, bytes binary")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        release()
         for table in grouped(batches, 1):
             done = pc.is_null(table.column("bytes"))
             if pc.any(done).as_py():
@@ -388,10 +383,10 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 hit = most >= 0
                 yield _span_batch(doc[own][hit], (at[own] - most)[hit], (at[own] - least)[hit] + length, np.full(int(hit.sum()), _SETTLED))
 
-    compared = fetched.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(compare, _SPANS)
+    compared = fetched.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(tidy(compare), _SPANS)
     spans = first.where(F.col("what") == _SETTLED).unionByName(compared)
     by_doc = spans.groupBy("doc").agg(F.collect_list("start").alias("start"), F.collect_list("stop").alias("stop"))
-    return by_doc.mapInArrow(_merged, "doc long, spans array<struct<start: long, stop: long>>")
+    return by_doc.mapInArrow(tidy(_merged), "doc long, spans array<struct<start: long, stop: long>>")
 
 
 def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -462,7 +457,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     ids = None if is_small(entries, 32) else few_keys(by_doc, "doc")
     if ids is not None:  # texts without a span need not move
         at, kind = len(names), rows.schema
-        moved = rows.where("__sl_doc is not null").mapInArrow(lambda batches: picked(batches, at, ids), kind)
+        moved = rows.where("__sl_doc is not null").mapInArrow(tidy(lambda batches: picked(batches, at, ids)), kind)
         joined = moved.join(spans, "__sl_doc").select(*names, "__sl_text", "__sl_spans")
     else:
         joined = rows.join(broadcast_if_small(spans, entries, 32), "__sl_doc", "left").select(*names, "__sl_text", "__sl_spans")
@@ -471,7 +466,6 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     schema = schema.add(text_col, "string") if as_text else schema
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        release()
         for batch in batches:
             for part in slices(batch, "__sl_text"):
                 data, off = utf8(part.column(len(names)))
@@ -483,11 +477,11 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 yield pa.record_batch(columns, out)
 
     if ids is None:
-        return joined.mapInArrow(remove, schema)
+        return joined.mapInArrow(tidy(remove), schema)
     still = rows.withColumn("__sl_spans", F.lit(None).cast(spans.schema["__sl_spans"].dataType))
 
     def stay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in picked(batches, at, ids, inside=False):
             yield pa.RecordBatch.from_arrays([c for i, c in enumerate(batch.columns) if i != at], [*names, "__sl_text", "__sl_spans"])
 
-    return joined.mapInArrow(remove, schema).unionByName(still.mapInArrow(lambda batches: remove(stay(batches)), schema))
+    return joined.mapInArrow(tidy(remove), schema).unionByName(still.mapInArrow(tidy(lambda batches: remove(stay(batches))), schema))

@@ -82,3 +82,18 @@ def test_texts_without_spans_stay(spark, monkeypatch, most_bytes):
     got = sorted((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"], r["text"]) for r in suffix_dedup(docs).where("doc_id is not null").collect())
     assert got == brute([r for r in rows if r[0] is not None])
     assert [(r["n_removed"], r["text"]) for r in suffix_dedup(docs).where("doc_id is null").collect()] == [(0, "x" * 300)]
+
+
+def test_a_worker_holds_nothing_after_its_task():
+    def work(batches):
+        common.resident("something", lambda: bytearray(10))
+        common.Hashes(np.zeros(1000, np.uint8)).of(np.zeros(1, np.int64), np.ones(1, np.int64))
+        yield from batches
+        if not batches:
+            raise ValueError
+
+    assert list(common.tidy(work)([1, 2])) == [1, 2]
+    assert not common._resident and not common._tables
+    with pytest.raises(ValueError):
+        list(common.tidy(work)([]))
+    assert not common._resident and not common._tables
